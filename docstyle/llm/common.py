@@ -31,7 +31,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
     """Bounds Arrow batches by rows and bytes, so that long texts do not add up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, sharding
+from . import media, mixing, packing, sharding
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op3_media": media.op3_media,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
