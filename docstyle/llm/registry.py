@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, sharding
+from . import media, mixing, packing, sharding, toxicity, trees
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_quality": trees.op2_quality,
     "op3_media": media.op3_media,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
