@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, packing, sharding, toxicity, trees
+from . import fingerprints, media, mixing, packing, sharding, spans, suffixes, toxicity, trees
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_substring_dedup": spans.op7_substring_dedup,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_toxicity": toxicity.op10_toxicity,
 }
