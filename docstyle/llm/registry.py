@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, packing, sharding, spans, suffixes, toxicity, trees
+from . import fingerprints, jaccard, media, mixing, packing, sharding, spans, suffixes, toxicity, trees
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_quality": trees.op2_quality,
     "op3_media": media.op3_media,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_sharding": sharding.op5_sharding,
     "op6_mixing": mixing.op6_mixing,
     "op7_substring_dedup": spans.op7_substring_dedup,

@@ -78,5 +78,5 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(hashes))
     out = np.zeros(len(hashes) - n + 1, dtype=np.uint64)
     for i in range(n):
-        out = mix(out + hashes[i : len(hashes) - n + 1 + i] + np.uint64(i + 1) * _ODD)
+        out = mix(out + hashes[i : len(hashes) - n + 1 + i] + np.uint64((i + 1) * int(_ODD) & 0xFFFFFFFFFFFFFFFF))
     return np.unique(out)
