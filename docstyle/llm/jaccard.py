@@ -254,5 +254,16 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     return out.unionAll(rest)
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of each component the document with the smallest doc_id stays, one row
+    of it where rows repeat. Rows without doc_id and documents with an empty set stay."""
+    kept = linked(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.where("doc_id IS NOT NULL").join(kept, docs.doc_id.cast("long") == F.col("kept_id"), "left_semi")
+    number = "number" + "_" * max(len(c) for c in docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    known = known.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
+    return known.unionByName(docs.where("doc_id IS NULL"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))

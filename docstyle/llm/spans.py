@@ -120,6 +120,26 @@ def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataF
     return joined.mapInArrow(run, "doc_id long, text string, n_removed long, n_spans long, n_sentences long")
 
 
+def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """The same rows and columns with repeated spans taken out of text; n_chars, if there, follows. See remove()."""
+    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
+    name = "covers" + "_" * max([0, *(len(c) for c in docs.columns)])
+    joined = docs.join(covers.select("of", F.col("covers").alias(name)), docs.doc_id.cast("long") == F.col("of"), "left").select(*[docs[c] for c in docs.columns], name)
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        for b in batches:
+            covers = b.column(b.num_columns - 1).to_pylist()
+            old = b.column(at).to_pylist()
+            new = [t if c is None or t is None else _keep(t.encode(), [(x["at"], x["size"]) for x in c])[0].decode() for t, c in zip(old, covers)]
+            cols = [b.column(i) if i != at else pa.array(new, pa.string()) for i in range(b.num_columns - 1)]
+            yield pa.record_batch(cols, names=names)
+
+    out = joined.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove(table(spark, sf_dir, "documents"))
     return out.select("doc_id", (F.octet_length("text") + F.col("n_removed")).cast("long").alias("n_bytes"), "n_removed", "n_spans", "n_sentences", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -241,5 +241,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
     return scored.select("doc_id", held_out(2, 4).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score `threshold` or more, with all their columns; nothing but training data is shuffled."""
+    forest = fit_quality(features(docs), labels, rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(forest.score(statistics(raw(b.column(at)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
