@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null becomes empty); every other column is left behind, so no name can clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    """doc_id and text (null becomes empty); every other column is left behind, so no name can clash.
+
+    A doc_id that is a long already is taken as it is: an alias would keep Spark from reusing an exchange of it."""
+    doc_id = F.col("doc_id") if docs.schema["doc_id"].dataType.simpleString() == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(doc_id, F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
