@@ -135,10 +135,11 @@ def _compare(digits, docs, ats, segs, depth: int):
     return docs[r], b, e
 
 
-def coverage(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None = None) -> DataFrame:
     """(doc_id, begin, end) byte intervals, unions of the windows that also begin in a document with a smaller doc_id.
 
-    docs: doc_id (not null) and text, equal texts reduced to one. Rows that share a doc_id count as one document."""
+    docs: doc_id (not null) and text, equal texts reduced to one. Rows that share a doc_id count as one document.
+    sample_of: where hot digits are looked for, docs if not given; a table that is read without a shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -148,12 +149,12 @@ def coverage(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pa.record_batch([b.column(0).take(pa.array(text)), pa.array(digit.view(np.int64)), pa.array(mark.view(np.int64))], names=["doc_id", "digit", "mark"])
 
     schema = "doc_id long, digit long, mark long"
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(HOT_SAMPLE)
+    sample_of = docs if sample_of is None else sample_of
+    sample = sample_of.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(HOT_SAMPLE)
     # the sample's size is a parameter; it only decides which way a digit's rows take, not what comes out
-    some = docs.join(F.broadcast(sample.distinct()), "doc_id")
+    some = sample_of.join(F.broadcast(sample.distinct()), "doc_id")
     least = max(50, int(HOT_SHARE * HOT_SAMPLE))
     hot_digits = [x.digit for x in some.mapInArrow(digits, schema).distinct().groupBy("digit").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "digit").limit(50_000).select("digit").collect()]
-    rows = docs.mapInArrow(digits, schema)
     status = F.when(F.col("n") > GROUP, 2).when(F.col("lo") < F.col("hi"), 0).otherwise(1)
     over = Window.partitionBy("digit")
     facts = [F.min("doc_id"), F.max("doc_id"), F.min("mark"), F.max("mark"), F.count("*")]
@@ -217,14 +218,14 @@ def coverage(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             d, doc, at = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2))
             return _compare(d, doc, at, [r[3] for r in rows], depth)
 
-        def give(doc, b, e):
-            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "begin", "end"])
+        def give(doc, b, e, seg=None):
+            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(b), pa.binary()) if seg is None else seg], names=["doc_id", "begin", "end", "seg"])
 
         for b in batches:
             status = b.column(1).to_numpy()
-            plain = b.filter(pa.array(status == 1))
-            if plain.num_rows:
-                yield pa.record_batch([plain.column(0), plain.column(3), plain.column(4)], names=["doc_id", "begin", "end"])
+            other = b.filter(pa.array(status != 0))
+            if other.num_rows:
+                yield give(other.column(0), other.column(3), other.column(4), other.column(5))
             r = b.filter(pa.array(status == 0))
             left += zip(r.column(2).to_pylist(), r.column(0).to_pylist(), r.column(3).to_pylist(), r.column(5).to_pylist())
             # rows come sorted by digit: all but the last digit are complete
@@ -236,13 +237,13 @@ def coverage(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         if left:
             yield give(*finish(left))
 
-    closed = opened.where("status < 2").sortWithinPartitions("status", "route").mapInArrow(compare, "doc_id long, begin long, end long")
+    closed = checkpoint(opened.sortWithinPartitions("status", "route").mapInArrow(compare, "doc_id long, begin long, end long, seg binary"))
     # the windows of digits with too many runs for one task: one row each, grouped by all of their bytes at once
     steps = F.sequence(F.lit(0), F.length("seg") - depth)
-    many = opened.where("status = 2").select("doc_id", "begin", "seg", F.explode(steps).alias("i")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), F.substring("seg", F.col("i") + 1, F.lit(depth)).alias("window"))
+    many = closed.where("seg IS NOT NULL").select("doc_id", "begin", "seg", F.explode(steps).alias("i")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), F.substring("seg", F.col("i") + 1, F.lit(depth)).alias("window"))
     first = many.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
     wide = many.join(first, "window").where("doc_id > first").select("doc_id", "begin", (F.col("begin") + depth).alias("end"))
-    return closed.unionByName(wide)
+    return closed.where("seg IS NULL").select("doc_id", "begin", "end").unionByName(wide)
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -262,7 +263,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     sha = F.sha2(F.col("text").cast("binary"), 256)
     copies = later.groupBy("copy").agg(F.collect_set("sha").alias("shas"))
     firsts = known.join(copies, known.doc_id == copies.copy, "left").where(F.col("shas").isNull() | ~F.array_contains("shas", sha)).select("doc_id", "text")
-    cover = coverage(firsts, depth).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("begin", "end")).alias("covers"))
+    cover = coverage(firsts, depth, known).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("begin", "end")).alias("covers"))
     rows = known.join(copies, known.doc_id == copies.copy, "left").join(cover, known.doc_id == cover.of, "left")
     rows = rows.select("doc_id", "text", F.when(F.array_contains("shas", sha), F.lit(True)).otherwise(False).alias("copied"), "covers")
     rows = rows.unionAll(base.where("doc_id IS NULL").select("doc_id", "text", F.lit(False), F.lit(None).cast("array<struct<begin:bigint,end:bigint>>")))
