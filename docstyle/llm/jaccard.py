@@ -147,9 +147,8 @@ def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, p
     return out_label, out_links
 
 
-def _pairs_by_signature(heads: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): every set with the smallest doc_id of each signature it has, where that is another."""
-    spark = heads.sparkSession
+def _pairs_by_signature(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): every document with the smallest doc_id of each signature it has, where that is another. No text is shuffled."""
     bounds = boundaries(percent)
 
     def emit(keep: bool | None, hot: np.ndarray):
@@ -167,16 +166,16 @@ def _pairs_by_signature(heads: DataFrame, n: int, percent: int) -> DataFrame:
         return run
 
     schema = "doc_id long, sig long"
-    sample = heads.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_SAMPLE).distinct()
+    sample = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_SAMPLE).distinct()
     # a bounded sample finds signatures of large groups; it decides only how their rows travel, not what is linked
-    some = heads.join(F.broadcast(sample), "doc_id").select("doc_id", "text")
+    some = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text")
     least = max(50, int(HOT_SHARE * HOT_SAMPLE))
     hot = some.mapInArrow(emit(None, None), schema).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "sig").limit(50_000).select("sig").collect()
     hot = np.sort(np.array([x.sig for x in hot], dtype=np.int64).view(_U))
-    cold = heads.select("doc_id", "text").mapInArrow(emit(False, hot), schema)
+    cold = docs.select("doc_id", "text").mapInArrow(emit(False, hot), schema)
     pairs = cold.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig")).alias("b"))
     if len(hot):
-        warm = heads.select("doc_id", "text").mapInArrow(emit(True, hot), schema)
+        warm = docs.select("doc_id", "text").mapInArrow(emit(True, hot), schema)
         # one row per hot signature, which the sample's share bounds
         least_of = warm.groupBy("sig").agg(F.min("doc_id").alias("b"))
         pairs = pairs.unionByName(warm.join(F.broadcast(least_of), "sig").select("doc_id", "b"))
@@ -242,8 +241,12 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     classes = checkpoint(some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("head"), F.count("*").alias("weight")))
     head_rows = classes.groupBy("head").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
     known = base.where("doc_id IS NOT NULL")
-    heads = known.join(classes.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    clusters = checkpoint(components(_pairs_by_signature(heads, n, percent)).join(head_rows, F.col("node") == F.col("head")).select("node", "component", "n", "weight"))
+    # copies are folded into the first document of their class before anything is compared
+    head_of = checkpoint(some.join(classes, ["n", "k1", "k2"]).where("doc_id <> head").groupBy("doc_id").agg(F.min("head").alias("head")))
+    pairs = _pairs_by_signature(known, n, percent)
+    for c in ("a", "b"):
+        pairs = pairs.join(head_of.select(F.col("doc_id").alias(c), F.col("head").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+    clusters = checkpoint(components(pairs).join(head_rows, F.col("node") == F.col("head")).select("node", "component", "n", "weight"))
     checked = checkpoint(_verified(known, clusters, n, percent))
     comp = components(checked.select(F.col("node").alias("a"), F.col("least").alias("b")))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
