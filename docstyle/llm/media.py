@@ -87,7 +87,7 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     x0 = np.minimum(xs.astype(np.int64), w - 1)
     for top in range(0, h, 4096):
         strip = image[top : top + 4096]
-        sums = np.zeros((len(strip), w + 1), dtype=np.int64)
+        sums = np.zeros((len(strip), w + 1))
         np.cumsum(strip, axis=1, out=sums[:, 1:])
         across[top : top + 4096] = sums[:, x0] + (xs - x0) * strip[:, x0]
     integral = np.zeros((h + 1, width + 1))

@@ -49,7 +49,7 @@ def plan(docs: DataFrame, weights=(1, 2, 3), n_shards: int = 8, blocks: int = 20
     """What the mix takes of each row: doc_id, size, source, source_size, target, taken, shards (one for each time the
     row is taken, as an array), place (its order within a shard).
 
-    The input has doc_id, source and size (words). Blocks number about `blocks` plus the sources in all, whatever the
+    The input has doc_id, source, key and size (words). Blocks number about `blocks` plus the sources in all, whatever the
     input's size; the driver holds one row per source and block. A row belongs to a block by a hash of doc_id, so a
     rerun takes the same. Where a source's last block is needed in part, its rows are taken in the order of their
     hash until the quota is met, the last of them in part: taken words meet the target to the word. Rows with equal
@@ -102,23 +102,27 @@ def plan(docs: DataFrame, weights=(1, 2, 3), n_shards: int = 8, blocks: int = 20
     return rows.select(
         "doc_id", "size", "source", "source_size", "target",
         F.when(F.col("got").isNull(), F.col("size") * times).otherwise(F.col("size") * (times - 1) + F.col("got")).cast("long").alias("taken"),
-        F.when(F.col("got") == 0, F.slice(shards, 1, F.greatest(times - 1, F.lit(0)))).otherwise(shards).alias("shards"), "place",
+        F.when(F.col("got") == 0, F.slice(shards, 1, F.greatest(times - 1, F.lit(0)))).otherwise(shards).alias("shards"), "place", "key",
     )
 
 
+def _key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the words of each text (null: 0), written once so that the passes of plan() read no text."""
-    return checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
+    """doc_id, source, key (which tells rows of one doc_id apart) and the words of each text (null: 0), written once so that the passes of plan() read no text."""
+    return checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _key().alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the input's columns, a row for each time a document is taken, in no order between shards but
     shuffled within them (column mix_shard aside, repartition by it and sort by mix_place to write shards).
 
-    A document taken in part keeps its first words. Rows of equal doc_id are taken alike, as one plan row is kept."""
+    A document taken in part keeps its first words. Rows that are equal throughout are taken alike."""
     p = plan(sized(docs), **options).where("taken > 0 OR (size = 0 AND size(shards) > 0)")
-    p = p.groupBy(F.col("doc_id").alias("mix_id")).agg(F.min(F.struct("size", "taken", "shards", "place")).alias("m"))
-    j = docs.join(p, docs.doc_id.cast("long").eqNullSafe(F.col("mix_id")))
+    p = p.groupBy(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key")).agg(F.min(F.struct("size", "taken", "shards", "place")).alias("m"))
+    j = docs.join(p, docs.doc_id.cast("long").eqNullSafe(F.col("mix_id")) & (_key() == F.col("mix_key")))
     j = j.select(*[docs[c] for c in docs.columns], F.col("m.size").alias("mix_size"), F.col("m.taken").alias("mix_taken"), F.col("m.place").alias("mix_place"), F.posexplode("m.shards").alias("mix_time", "mix_shard"))
     words = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("mix_time") * F.col("mix_size")).cast("int")
     head = F.when(words >= F.col("mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(words, F.lit(0))), " "))

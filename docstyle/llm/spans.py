@@ -64,25 +64,25 @@ def span_hashes(texts: list[bytes], least: int = SENTENCES, words: int = WORDS):
 
 
 def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, at (number of the first sentence), size (sentences), hash of every span of every whole text."""
+    """doc_id, key (a hash of the text), at (number of the first sentence), size (sentences), hash of every span of every whole text."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             text, at, size, h = span_hashes(raw(b.column(1)), least, words)
-            yield pa.record_batch([b.column(0).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "at", "size", "hash"])
+            yield pa.record_batch([b.column(0).take(pa.array(text)), b.column(2).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "key", "at", "size", "hash"])
 
-    return text_of(docs).mapInArrow(run, "doc_id long, at int, size int, hash long")
+    return text_of(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, at int, size int, hash long")
 
 
 def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, at, size of the spans that are not the first of their hash, the order being doc_id, then position.
+    """doc_id, key, at, size of the spans that are not the first of their hash, the order being doc_id, key, then position.
 
     The first occurrence is an aggregate that tasks combine before they shuffle, so a passage that a third of all
     documents share is no hot group; it is joined back by hash, where a skewed hash can be split."""
     s = spans(docs, least, words).where("doc_id IS NOT NULL")
-    first = s.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    return s.join(first, "hash").where("NOT (doc_id = first.doc_id AND at = first.at)").select("doc_id", "at", "size").distinct()
+    first = s.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    return s.join(first, "hash").where("NOT (doc_id = first.doc_id AND key = first.key AND at = first.at)").select("doc_id", "key", "at", "size").distinct()
 
 
 def _keep(text: bytes, covers: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
@@ -104,12 +104,12 @@ def _keep(text: bytes, covers: list[tuple[int, int]]) -> tuple[bytes, int, int,
 def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """doc_id, text (null becomes empty, repeated spans removed), n_removed (bytes), n_spans, n_sentences for each row.
 
-    A document's own later repeats go as well. Rows that share a doc_id are one document that has the spans of each; rows
+    A document's own later repeats go as well. Rows that share a doc_id are told apart by their text; rows
     without doc_id keep their text and are compared with nothing. Texts under `least` sentences or `words` words hold
     no span. Spans compare lower-cased words, so other spacing or case does not hide a repeat."""
-    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
+    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
     base = text_of(docs)
-    joined = base.join(covers, base.doc_id == covers.of, "left").select("doc_id", "text", "covers")
+    joined = base.join(covers, (base.doc_id == covers.of) & (F.xxhash64("text") == covers.of_key), "left").select("doc_id", "text", "covers")
 
     def run(batches):
         for b in batches:
@@ -122,9 +122,9 @@ def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataF
 
 def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """The same rows and columns with repeated spans taken out of text; n_chars, if there, follows. See remove()."""
-    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
+    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
     name = "covers" + "_" * max([0, *(len(c) for c in docs.columns)])
-    joined = docs.join(covers.select("of", F.col("covers").alias(name)), docs.doc_id.cast("long") == F.col("of"), "left").select(*[docs[c] for c in docs.columns], name)
+    joined = docs.join(covers.select(F.col("of").alias(f"{name}1"), F.col("of_key").alias(f"{name}2"), F.col("covers").alias(name)), (docs.doc_id.cast("long") == F.col(f"{name}1")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col(f"{name}2")), "left").select(*[docs[c] for c in docs.columns], name)
     names = docs.columns
     at = names.index("text")
 
