@@ -6,7 +6,8 @@ equal after the last digit are exactly the repeated windows. The passes are spre
 1. Whole texts: of equal texts only the first is looked into; a later one is covered throughout.
 2. First digit: the least hash among the 16-byte strings inside a window. Equal windows have equal digits, and neighbouring
    windows mostly share one, so a run of windows travels as one short row. Runs whose digit one document alone has
-   drop out; where all runs of a digit are the same string, the first document decides them at once.
+   drop out; where all runs of a digit are the same string, the first document decides them at once, and a run that a
+   smaller document has as a whole is covered and, as that document has its windows, needs no comparison.
 3. Remaining digits: the windows of the other runs, grouped by their first digit, are refined eight bytes at a time by
    a radix sort in numpy, groups of one leaving after each pass.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, small_batches, table, text_of
+from .common import checkpoint, partitions, small_batches, stored, table, text_of
 from .textkernels import _BYTE, _powers, mix, raw
 
 DEPTH = 50
@@ -30,6 +31,8 @@ PIECE = 1 << 19
 #: Digits that this share of a sample of documents has are hot: few by definition, decided by an aggregate.
 HOT_SHARE = 0.004
 HOT_SAMPLE = 20_000
+#: First digits keep so many bits: two strings under one digit cost a comparison and change nothing.
+DIGIT = np.uint64((1 << 48) - 1)
 #: More runs than this under one digit are not sorted in one task; their windows are grouped by the cluster.
 GROUP = 40_000
 
@@ -75,7 +78,7 @@ def runs(texts: list[bytes], depth: int = DEPTH):
         mark = (whole >> np.uint64(24) << np.uint64(6)) | (count % 64).astype(np.uint64)
         owner = np.array([i for i, _, _ in lot])[piece[first]]
         offset = np.array([a for _, a, _ in lot])[piece[first]] + first - begins[piece[first]]
-        out.append((owner, offset, count, digit[first], mark))
+        out.append((owner, offset, count, digit[first] & DIGIT, mark))
     if not out:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -156,7 +159,7 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
     least = max(50, int(HOT_SHARE * HOT_SAMPLE))
     hot_digits = [x.digit for x in some.mapInArrow(digits, schema).distinct().groupBy("digit").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "digit").limit(50_000).select("digit").collect()]
     status = F.when(F.col("n") > GROUP, 2).when(F.col("lo") < F.col("hi"), 0).otherwise(1)
-    over = Window.partitionBy("digit")
+    over, same = Window.partitionBy("digit"), Window.partitionBy("digit", "mark")
     facts = [F.min("doc_id"), F.max("doc_id"), F.min("mark"), F.max("mark"), F.count("*")]
     names = ["first", "last", "lo", "hi", "n"]
     hot = np.sort(np.array(hot_digits, dtype=np.int64))
@@ -170,22 +173,25 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
 
         return run
 
-    cold = docs.mapInArrow(marked(False), schema).select("doc_id", "digit", "mark", *[f.over(over).alias(n) for f, n in zip(facts, names)])
+    # one exchange by digit serves both windows
+    cold = docs.mapInArrow(marked(False), schema).repartition(partitions(spark), "digit").withColumn("whole", F.min("doc_id").over(same)).select("doc_id", "digit", "mark", "whole", *[f.over(over).alias(n) for f, n in zip(facts, names)])
     found = cold
     if len(hot):
         warm = docs.mapInArrow(marked(True), schema)
         # as many rows as there are hot digits, which the sample's share bounds
         decided = warm.groupBy("digit").agg(*[f.alias(n) for f, n in zip(facts, names)])
-        found = cold.unionByName(warm.join(F.broadcast(decided), "digit"))
-    found = found.where("first < last").withColumn("status", status).where("status <> 1 OR doc_id > first")
-    told = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("digit", "status")).alias("told"))
+        found = cold.unionByName(warm.withColumn("whole", F.col("doc_id")).join(F.broadcast(decided), "digit"))
+    found = found.where("first < last").withColumn("status", F.when(F.col("whole") < F.col("doc_id"), 1).otherwise(status)).where("status <> 1 OR doc_id > first")
+    # a run by its digit and mark in one long
+    run_key = F.col("digit").bitwiseXOR(F.shiftleft("mark", 17)).alias("run")
+    told = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct(run_key, "status")).alias("told"))
     joined = docs.join(told, docs.doc_id == told.of).select("doc_id", "text", "told")
 
     def open_runs(batches):
         for b in batches:
             texts, told = raw(b.column(1)), b.column(2)
             ids = b.column(0).to_numpy()
-            text, at, count, digit, _ = runs(texts, depth)
+            text, at, count, digit, mark = runs(texts, depth)
             lists, flat = told.offsets.to_numpy(), told.values
             known, state = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()
             owner = np.repeat(np.arange(b.num_rows), np.diff(lists))
@@ -194,7 +200,7 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
             key = mix(known.view(np.uint64) + mix(owner.astype(np.uint64) + np.uint64(1)))
             by = np.argsort(key, kind="stable")
             key, state = key[by], state[by]
-            own = mix(digit + mix(text.astype(np.uint64) + np.uint64(1)))
+            own = mix((digit ^ mark << np.uint64(17)) + mix(text.astype(np.uint64) + np.uint64(1)))
             j = np.minimum(np.searchsorted(key, own), max(0, len(key) - 1))
             hit = key[j] == own if len(key) else np.zeros(len(own), dtype=bool)
             state = np.where(hit, state[j], 9) if len(key) else np.full(len(own), 9)
@@ -237,7 +243,7 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
         if left:
             yield give(*finish(left))
 
-    closed = checkpoint(opened.sortWithinPartitions("status", "route").mapInArrow(compare, "doc_id long, begin long, end long, seg binary"))
+    closed = stored(opened.sortWithinPartitions("status", "route").mapInArrow(compare, "doc_id long, begin long, end long, seg binary"))
     # the windows of digits with too many runs for one task: one row each, grouped by all of their bytes at once
     steps = F.sequence(F.lit(0), F.length("seg") - depth)
     many = closed.where("seg IS NOT NULL").select("doc_id", "begin", "seg", F.explode(steps).alias("i")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), F.substring("seg", F.col("i") + 1, F.lit(depth)).alias("window"))
