@@ -1,0 +1,43 @@
+"""Default settings of scoring, factor analysis and continuation."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+# The defaults of both classes.
+@dataclass(frozen=True)
+class Scoring:
+    """Windows and models of the metrics, chunks for embedding, factor analysis."""
+
+    parser: str = "en_core_web_md"
+    mattr_window: int = 100
+    entropy_window: int = 100
+    trigram_test_share: float = 0.2
+    trigram_alpha: float = 0.1
+    families: tuple[str, ...] = ("descriptive_stats", "readability", "dependency_distance", "coherence", "pos_proportions", "quality")
+    chunk_words: int = 100
+    chunk_overlap: int = 3
+    batch_size: int = 128
+    embedding_prefix: str = "passage: "
+    seed: int = 2001
+    permutations: int = 500
+    top_loadings: int = 6
+    affect: str = "historical"  # concreteness only; "modern" takes all affective lexica
+    max_chars: int = 999_999
+
+
+@dataclass(frozen=True)
+class Continuation:
+    """Excerpts, one from each equal part of a text, and generation."""
+
+    n_chunks: int = 3
+    least_words: int = 500
+    most_words: int = 600
+    least_extra: int = 50
+    most_extra: int = 120
+    tries: int = 60
+    seed: int = 19
+    new_tokens: int = 650
+    temperature: float = 0.7
+    top_p: float = 0.9
