@@ -1,7 +1,7 @@
 """Operator 4, n-gram Jaccard join with set-relation skipping.
 
 Equal sets are one class. Distinct sets that could reach the threshold meet by partition signatures: the hash space is
-cut into one more part than two such sets can differ in, so they agree on some whole part. Sets that meet form
+cut into more parts than two such sets can differ in, so they agree on some whole part. Sets that meet form
 clusters, and inside a cluster the join runs over inverted lists: a set probes lists by its prefix and skips blocks of
 entries by position; a set that is highly similar to one already answered takes over that one's overlaps and corrects
 them through the lists of the few shingles in which the two differ.
@@ -40,9 +40,10 @@ def boundaries(percent: int, most: int = 1 << 40) -> np.ndarray:
 def signatures(s: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     """Hashes of which two different sets that reach the threshold share at least one.
 
-    Of sets whose sizes are at most hi, the smaller being, D = hi (1 - t) / t elements differ at most. With D + 3
-    parts of the hash space at least three parts agree; each non-empty part gives a hash of its content. A set with so few
-    non-empty parts that all agreeing ones may be empty gives each element as well: such sets share one."""
+    Of sets whose sizes are at most hi, the smaller being, D = hi (1 - t) / t elements differ at most, and so do the
+    contents of D parts of the hash space at most; each non-empty part gives a hash of its content. The number of parts is
+    so far above D that nearly every set has more than D non-empty ones, of which one agrees whatever the other set is.
+    A set with fewer gives each element as well: two such sets share one."""
     if len(s) == 0:
         return s
     c = int(np.searchsorted(bounds, len(s), side="right")) - 1
@@ -51,7 +52,7 @@ def signatures(s: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
         differ = int(bounds[level + 1] - 1) * (100 - percent) // percent if level >= 0 else 0
         if differ == 0:
             continue
-        parts = differ + 3
+        parts = differ + differ // 12 + 8
         part = (s >> _U(32)) * _U(parts) >> _U(32)
         begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         content = np.add.reduceat(mix(s + _U(level)), begin)
