@@ -62,14 +62,13 @@ def signatures(s: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else s[:0]
 
 
-def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, percent: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """(component, links) of each set among a group's: the smallest position that is reachable, and the summed weight of
-    the sets that link to it. Sets of two different blocks, where there are two, are compared across blocks only."""
+    the sets that link to it. across: the group is that of two blocks, and sets are compared across blocks only."""
     n = len(group)
     order = np.argsort([len(s) for s in group], kind="stable")
     size = np.array([len(group[i]) for i in order], dtype=np.int64)
     block, weight = block[order], weight[order]
-    across = len(np.unique(block)) > 1
     flat = np.concatenate([group[i] for i in order])
     owner = np.repeat(np.arange(n), size)
     _, token, often = np.unique(flat, return_inverse=True, return_counts=True)
@@ -198,7 +197,7 @@ def _verified(heads: DataFrame, clusters: DataFrame, n: int, percent: int) -> Da
     def run(batches):
         def finish(group):
             s = sets([r[4] for r in group], n)
-            label, links = join_group(s, np.array([r[2] for r in group]), np.array([r[3] for r in group]), percent)
+            label, links = join_group(s, np.array([r[2] for r in group]), np.array([r[3] for r in group]), percent, group[0][0][1] != group[0][0][2])
             ids = [r[1] for r in group]
             return ids, [min(ids[x], ids[i]) for i, x in enumerate(label.tolist())], links.tolist()
 

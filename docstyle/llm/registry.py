@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, jaccard, media, mixing, packing, sharding, spans, suffixes, toxicity, trees
+from . import fingerprints, jaccard, media, mixing, oracles, packing, sharding, spans, suffixes, toxicity, trees
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -17,4 +17,4 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_ngram_jaccard": oracles.NGRAM_JACCARD, "op8_suffix_dedup": oracles.SUFFIX_DEDUP}

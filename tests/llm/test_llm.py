@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from docstyle.llm import fingerprints, jaccard, media, mixing, packing, sharding, spans, suffixes, toxicity, trees
+from docstyle.llm import fingerprints, jaccard, media, mixing, packing, registry, sharding, spans, suffixes, toxicity, trees
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, digit string"
 
@@ -191,12 +191,31 @@ def test_join_group_random():
         at = rng.random(60) < rng.choice([0.01, 0.05, 0.1])
         s[at] = rng.integers(0, 2**60, int(at.sum())).astype(np.uint64)
         group.append(np.unique(s[: rng.integers(50, 61)]))
-    label, links = jaccard.join_group(group, np.zeros(80, dtype=int), np.ones(80, dtype=int), 85)
+    label, links = jaccard.join_group(group, np.zeros(80, dtype=int), np.ones(80, dtype=int), 85, False)
     for i, a in enumerate(group):
         want = [j for j, b in enumerate(group) if j != i and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))]
         assert links[i] == len(want) and all(label[j] == label[i] for j in want)
 
 
+def test_join_group_of_one_block():
+    """Two blocks of which one is empty: their pair finds nothing, as the block alone has been compared already."""
+    group = [np.arange(20, dtype=np.uint64)] * 2
+    for across, want in ((False, [3, 2]), (True, [0, 0])):
+        assert jaccard.join_group(group, np.zeros(2, dtype=int), np.array([2, 3]), 85, across)[1].tolist() == want
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_sql(spark, plain, name, tmp_path):
+    import duckdb
+
+    plain.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def brute_suffixes(rows, depth=50):
     seen, out = set(), {}
     for d, t, *_ in sorted(rows, key=lambda r: r[0]):
