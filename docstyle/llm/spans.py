@@ -8,44 +8,89 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_of
+from .common import small_batches, table
 from .textkernels import Words, mix, raw
 
 #: A span: at least this many sentences, and as many more as it takes to have this many words.
 SENTENCES = 2
 WORDS = 20
-#: A longer sentence is cut after every so many of its words, so that text without sentence ends has spans too.
+#: A longer sentence is cut at places that its words decide, so that text without sentence ends has spans too.
 LONGEST = 15
+#: Of so many places in a row inside a longer sentence, it is cut at the one of least hash. A repeat cuts alike but for its
+#: first and last 2 * WINDOW - 1 words at most, so one of over 50 words holds WORDS words between two such cuts.
+WINDOW = 8
+#: What may stand between a sentence's end and the white space after it: quotes and brackets.
+_AFTER = [x.encode() for x in "\"')]}»«›‹”“’‘」』）"]
+_ENDS = [x.encode() for x in ".!?…。！？"]
+
+
+def _found(buf: np.ndarray, pattern: bytes) -> np.ndarray:
+    """Where a pattern's last byte stands."""
+    at = np.flatnonzero(buf == pattern[-1])
+    at = at[at >= len(pattern) - 1]
+    for i in range(2, len(pattern) + 1):
+        at = at[buf[at - i + 1] == pattern[-i]]
+    return at
+
+
+def _closes(w: Words) -> np.ndarray:
+    """Whether a word ends a sentence: its last character is . ! ? or their like, quotes and brackets after it aside."""
+    rest, ends = np.arange(len(w.buf)), np.zeros(len(w.buf), dtype=bool)
+    for x in _AFTER:
+        at = _found(w.buf, x)
+        for i in range(len(x)):
+            rest[at - i] = -1
+    for x in _ENDS:
+        ends[_found(w.buf, x)] = True
+    last = np.maximum.accumulate(rest)[w.end - 1]
+    return (last >= w.start) & ends[last]
+
+
+def _cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """First words of the pieces that sentences of more than LONGEST words are cut into."""
+    size = np.diff(np.append(first, len(h)))
+    long = np.repeat(size > LONGEST, size)
+    # the place before a word is told by the words on both sides of it; a sentence's first word has no such place
+    place = mix(np.append(np.uint64(0), h[:-1]) * np.uint64(3) + h)
+    inside = long.copy()
+    inside[first] = False
+    run = np.flatnonzero(inside)
+    # windows of places that lie in one sentence
+    run = run[run + WINDOW <= np.repeat(np.append(first[1:], len(h)), size)[run]]
+    least, at = place[run], run.copy()
+    for i in range(1, WINDOW):
+        less = place[run + i] <= least
+        least = np.where(less, place[run + i], least)
+        at = np.where(less, run + i, at)
+    return np.unique(at)
+
 
 def sentences(texts: list[bytes]):
-    """(words, first word of each sentence, text of each sentence), sentences being runs of words up to one that ends in
-    . ! or ?, or to a line end or the end of the text, and at most LONGEST words."""
+    """(words, their hashes, first word of each sentence, text of each sentence), sentences being runs of words up to one
+    that ends in . ! or ? (see _closes), or to a line end or the end of the text; those of over LONGEST words in pieces."""
     w = Words(texts)
     if len(w.start) == 0:
-        return w, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return w, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h = w.hash()
     lines = np.concatenate([[0], np.cumsum(w.buf == 10)])
-    last = w.buf[w.end - 1]
-    closes = (last == 46) | (last == 33) | (last == 63)
     new = np.ones(len(w.start), dtype=bool)
-    new[1:] = closes[:-1] | (lines[w.start[1:]] != lines[w.start[:-1]]) | (w.text[1:] != w.text[:-1])
+    new[1:] = _closes(w)[:-1] | (lines[w.start[1:]] != lines[w.start[:-1]]) | (w.text[1:] != w.text[:-1])
+    new[_cuts(h, np.flatnonzero(new))] = True
     first = np.flatnonzero(new)
-    new |= (np.arange(len(new)) - np.repeat(first, np.diff(np.append(first, len(new))))) % LONGEST == 0
-    first = np.flatnonzero(new)
-    return w, first, w.text[first]
+    return w, h, first, w.text[first]
 
 
 def span_hashes(texts: list[bytes], least: int = SENTENCES, words: int = WORDS):
     """For each span: its text, first sentence (numbered in the text), number of sentences, hash; by sentence position."""
-    w, first, text = sentences(texts)
+    w, h, first, text = sentences(texts)
     n = len(first)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64)
     bounds = np.append(first, len(w.start))
-    h = w.hash()
     # a sum of mixed (word, place in sentence) is taken per sentence, then sentences are chained in order
     place = np.arange(len(h)) - np.repeat(first, np.diff(bounds))
     sentence = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first) + np.diff(bounds).astype(np.uint64))
@@ -63,31 +108,43 @@ def span_hashes(texts: list[bytes], least: int = SENTENCES, words: int = WORDS):
     return text[start], number[start], size, mix(out + size.astype(np.uint64))
 
 
-def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, key (a hash of the text), at (number of the first sentence), size (sentences), hash of every span of every whole text."""
+def keyed(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id apart: a hash of the text, or 0 if no doc_id repeats, as that shrinks when shuffled."""
+    again = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long")).count().where("count > 1").limit(1).collect()
+    return F.xxhash64(F.coalesce(docs.text, F.lit(""))) if again else F.lit(0).cast("long")
+
+
+def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, key: Column | None = None) -> DataFrame:
+    """doc_id, key (see keyed()), place, hash of every span of every whole text.
+
+    A span has max(least, words) sentences at most; its place is the number of its first, at, and its sentences, size, as
+    at * (max(least, words) + 1) + size, so that they cross the network as one small number."""
     small_batches(docs.sparkSession)
+    base = max(least, words) + 1
+    key = keyed(docs) if key is None else key
 
     def run(batches):
         for b in batches:
             text, at, size, h = span_hashes(raw(b.column(1)), least, words)
-            yield pa.record_batch([b.column(0).take(pa.array(text)), b.column(2).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "key", "at", "size", "hash"])
+            yield pa.record_batch([b.column(0).take(pa.array(text)), b.column(2).take(pa.array(text)), pa.array(at * base + size), pa.array(h.view(np.int64))], names=["doc_id", "key", "place", "hash"])
 
-    return text_of(docs).withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, at int, size int, hash long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).mapInArrow(run, "doc_id long, key long, place long, hash long")
 
 
-def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, key: Column | None = None) -> DataFrame:
     """doc_id, key, at, size of the spans that are not the first of their hash, the order being doc_id, key, then position.
 
     The first occurrence is an aggregate that tasks combine before they shuffle, so a passage that a third of all
     documents share is no hot group; it is joined back by hash, where a skewed hash can be split."""
-    s = spans(docs, least, words).where("doc_id IS NOT NULL")
-    first = s.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    return s.join(first, "hash").where("NOT (doc_id = first.doc_id AND key = first.key AND at = first.at)").select("doc_id", "key", "at", "size").distinct()
+    base = max(least, words) + 1
+    s = spans(docs, least, words, key).where("doc_id IS NOT NULL")
+    first = s.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    return s.join(first, "hash").where("NOT (doc_id = first.doc_id AND key = first.key AND place = first.place)").select("doc_id", "key", "place").distinct().select("doc_id", "key", F.floor(F.col("place") / base).cast("int").alias("at"), (F.col("place") % base).cast("int").alias("size"))
 
 
 def _keep(text: bytes, covers: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
     """The text without its covered sentences; bytes removed, runs removed, sentences removed."""
-    w, first, _ = sentences([text])
+    w, _, first, _ = sentences([text])
     gone = np.zeros(len(first) + 1, dtype=np.int64)
     for at, size in covers:
         gone[at] += 1
@@ -107,9 +164,10 @@ def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataF
     A document's own later repeats go as well. Rows that share a doc_id are told apart by their text; rows
     without doc_id keep their text and are compared with nothing. Texts under `least` sentences or `words` words hold
     no span. Spans compare lower-cased words, so other spacing or case does not hide a repeat."""
-    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
-    base = text_of(docs)
-    joined = base.join(covers, (base.doc_id == covers.of) & (F.xxhash64("text") == covers.of_key), "left").select("doc_id", "text", "covers")
+    key = keyed(docs)
+    covers = repeated(docs, least, words, key).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
+    joined = base.join(covers, (base.doc_id == covers.of) & (base.key == covers.of_key), "left").select("doc_id", "text", "covers")
 
     def run(batches):
         for b in batches:
@@ -122,9 +180,10 @@ def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataF
 
 def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """The same rows and columns with repeated spans taken out of text; n_chars, if there, follows. See remove()."""
-    covers = repeated(docs, least, words).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
+    key = keyed(docs)
+    covers = repeated(docs, least, words, key).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
     name = "covers" + "_" * max([0, *(len(c) for c in docs.columns)])
-    joined = docs.join(covers.select(F.col("of").alias(f"{name}1"), F.col("of_key").alias(f"{name}2"), F.col("covers").alias(name)), (docs.doc_id.cast("long") == F.col(f"{name}1")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col(f"{name}2")), "left").select(*[docs[c] for c in docs.columns], name)
+    joined = docs.join(covers.select(F.col("of").alias(f"{name}1"), F.col("of_key").alias(f"{name}2"), F.col("covers").alias(name)), (docs.doc_id.cast("long") == F.col(f"{name}1")) & (key == F.col(f"{name}2")), "left").select(*[docs[c] for c in docs.columns], name)
     names = docs.columns
     at = names.index("text")
 

@@ -264,6 +264,38 @@ def test_spans(spark, docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def test_spans_of_text_without_sentence_ends(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = words(60)
+    rows = [(1, f"{words(40)} {passage} {words(40)}")] + [(2 + i, f"{words(30 + i)} {passage} {words(35)}") for i in range(15)]
+    got = {r.doc_id: r for r in spans.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0
+    for d, t in rows[1:]:
+        left = got[d].text.split()
+        # at most 15 words at each end of a repeat are cut otherwise, and nothing else goes
+        assert 30 <= len(t.split()) - len(left) <= 60 and [w for w in left if w not in passage] == [w for w in t.split() if w not in passage]
+
+
+def test_a_repeat_of_51_words_holds_a_span():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5)))
+    for trial in range(400):
+        end = rng.choice([0, 0, 0.03, 0.1])
+        run = lambda n: [word() + (rng.choice([".", '."', "?)", "\u2026", "!\u201d"]) if rng.random() < end else "") for _ in range(n)]  # noqa: B023, E731
+        passage = run(51)
+        a, b = (" ".join(run(rng.randint(0, 40)) + passage + run(rng.randint(0, 40))).encode() for _ in range(2))
+        h = [set(spans.span_hashes([x])[3].tolist()) for x in (a, b)]
+        assert h[0] & h[1], (trial, a, b)
+
+
+def test_sentence_ends():
+    for end in (".", "!", "?", '."', "?)", ".'\u201d", "\u2026", "!\u00bb", "\u3002"):
+        assert len(spans.sentences([f"One two{end} Three".encode()])[2]) == 2, end
+    for end in ("", ",", '"', ")", ".x", "\u201d"):
+        assert len(spans.sentences([f"One two{end} Three".encode()])[2]) == 1, end
+
+
 def test_fingerprints(plain, docs):
     rows = sorted(((d, t or "") for d, t, *_ in corpus()[:-2]), reverse=True)
     got = {r.doc_id: r for r in fingerprints.fingerprints(plain).collect()}
