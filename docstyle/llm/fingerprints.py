@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, ranges_of, table, text_of, values_table
 
-SLOTS = 16
+SLOTS = 64
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:

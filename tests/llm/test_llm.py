@@ -311,6 +311,20 @@ def test_fingerprints(plain, docs):
     assert fingerprints.fingerprints(docs).count() == len(corpus())
 
 
+def test_likeness_against_exact_similarity(spark):
+    from collections import Counter
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randint(0, 400):03d}" for _ in range(60))) for i in range(200)]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = []
+    for i, t in rows:
+        edited = t[: len(t) - len(t) // 2] + rows[i - 1][1][: len(t) // 2]
+        a, b = Counter(t.split()), Counter(edited.split())
+        wrong.append(got[i].near_edited - (a & b).total() / (a | b).total())
+    assert abs(np.mean(wrong)) < 0.02 and np.std(wrong) < 0.08
+
+
 def test_quality(docs, labels):
     rows = trees.score_quality(docs, labels).collect()
     assert len(rows) == len(corpus()) and all(0 <= r.score <= 1 for r in rows)
