@@ -59,6 +59,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Marks a table of a few short columns for broadcasting if it has at most `most` rows, counted no further than that;
+    a larger one is left to a shuffled join, with the same result."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
     """Bounds Arrow batches by rows and bytes, so that long texts do not add up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

@@ -1,10 +1,12 @@
 """Operator 4, n-gram Jaccard join with set-relation skipping.
 
-Equal sets are one class. Distinct sets that could reach the threshold meet by partition signatures: the hash space is
-cut into more parts than two such sets can differ in, so they agree on some whole part. Sets that meet form
-clusters, and inside a cluster the join runs over inverted lists: a set probes lists by its prefix and skips blocks of
-entries by position; a set that is highly similar to one already answered takes over that one's overlaps and corrects
-them through the lists of the few shingles in which the two differ.
+1. Gate. Two sets that reach the threshold agree on a known number of shingles among the least of each (by hash). Those
+   shingles meet over the whole corpus; a set of which too few are found in any other set has no partner and goes no further.
+2. Lists. The shingles of the sets that are left are counted exactly, and a set enters the index lists of its prefix, its
+   rarest shingles first: sets that reach the threshold meet in a list. Sets that meet, directly or not, form a cluster.
+3. Join. Inside a cluster, lists are in order of position, and a probe skips the blocks of entries whose position can't
+   reach the overlap; a set that is highly similar to one already answered derives its answer from that one's overlaps,
+   corrected through the lists of the few shingles in which the two differ.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, partitions, small_batches, table, text_of
+from . import meeting
+from .common import checkpoint, components, few, partitions, small_batches, stored, table
 from .textkernels import Words, mix, raw, shingles
 
 #: Sets per block of a cluster, and shingles per block: a task holds two blocks at most.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
-HOT_SHARE, HOT_SAMPLE = 0.004, 20_000
+#: A set asks this share of its size (in percent) more of its least shingles than it must to meet a partner once.
+MORE = 10
+#: Sets within this distance (in percent) of an answered one derive their answers from it.
+NEAR = 10
 _U = np.uint64
 
 
@@ -29,37 +35,24 @@ def sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return [shingles(h[lo:hi], n) for lo, hi in zip(w.first[:-1], w.first[1:])]
 
 
-def boundaries(percent: int, most: int = 1 << 40) -> np.ndarray:
-    """Size classes: sets that reach the threshold lie in the same class or in neighbouring ones."""
-    b = [1]
-    while b[-1] < most:
-        b.append(b[-1] * 100 // percent + 1)
-    return np.array(b, dtype=np.int64)
-
-
-def signatures(s: np.ndarray, percent: int, bounds: np.ndarray) -> np.ndarray:
-    """Hashes of which two different sets that reach the threshold share at least one.
-
-    Of sets whose sizes are at most hi, the smaller being, D = hi (1 - t) / t elements differ at most, and so do the
-    contents of D parts of the hash space at most; each non-empty part gives a hash of its content. The number of parts is
-    so far above D that nearly every set has more than D non-empty ones, of which one agrees whatever the other set is.
-    A set with fewer gives each element as well: two such sets share one."""
-    if len(s) == 0:
-        return s
-    c = int(np.searchsorted(bounds, len(s), side="right")) - 1
-    out = []
-    for level in (c - 1, c):
-        differ = int(bounds[level + 1] - 1) * (100 - percent) // percent if level >= 0 else 0
-        if differ == 0:
-            continue
-        parts = differ + differ // 12 + 8
-        part = (s >> _U(32)) * _U(parts) >> _U(32)
-        begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        content = np.add.reduceat(mix(s + _U(level)), begin)
-        out.append(mix(content + mix(part[begin] + _U(level << 32))))
-        if len(begin) <= differ:
-            out.append(mix(s ^ _U(0xA5A5A5A5A5A5A5A5 + level)))
-    return np.concatenate(out) if out else s[:0]
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums by which equal sets are told; the first also names the set."""
+    return tuple(mix(s + _U(salt)).sum(dtype=_U).astype(np.int64) for salt in (1, 2))
+
+
+def must(n, percent: int):
+    """The least overlap of a set of n shingles with any partner."""
+    return -(-n * percent // 100)
+
+
+def asked(n, percent: int):
+    """How many of its least shingles a set shows: with a partner it shares at least met(n) of them that both show."""
+    return n - must(n, percent) + np.maximum(1, -(-n * MORE // 100))
+
+
+def met(n, percent: int):
+    """A partner may be smaller, and then shows fewer."""
+    return np.maximum(1, -(-must(n, percent) * MORE // 100))
 
 
 def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, percent: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +76,22 @@ def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, p
     lists = np.lexsort((place, token))
     list_owner, list_place = owner[lists], place[lists]
     head = np.searchsorted(token[lists], np.arange(len(often) + 1))
-    prefix = size - -(-size * percent // 100) + 1
+    # distances are a metric: who links to a set within NEAR of x is within this similarity of x
+    reach = max(1, percent - NEAR)
+    prefix = size - -(-size * reach // 100) + 1
     label, links = np.arange(n), np.zeros(n, dtype=np.int64)
     done = np.zeros(n, dtype=bool)
+    shown = np.zeros(len(often), dtype=bool)
 
-    def entries(tokens: np.ndarray) -> np.ndarray:
-        lo, many = head[tokens], head[tokens + 1] - head[tokens]
-        return list_owner[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+    def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """The indexes of several runs, one after the other."""
+        return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
-    def probe(x: int) -> bool:
-        """Whether any other set may reach the threshold with x, by its prefix and by position."""
+    def probe(x: int) -> np.ndarray:
+        """The sets that may reach `reach` with x, by the lists of its prefix, skipping by position."""
         s = size[x]
-        back, ahead = s * (100 - percent) // 100, s * (100 - percent) // percent
+        back, ahead = s * (100 - reach) // 100, s * (100 - reach) // reach
+        found = np.zeros(n, dtype=bool)
         for i, t in enumerate(token[begin[x] : begin[x] + prefix[x]]):
             lo, hi = head[t], head[t + 1]
             if hi - lo < 2:
@@ -103,43 +100,46 @@ def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, p
             a = lo + np.searchsorted(list_place[lo:hi], i - back)
             b = lo + np.searchsorted(list_place[lo:hi], i + ahead, side="right")
             y, at = list_owner[a:b], list_place[a:b]
-            need = -(-percent * (s + size[y]) // (100 + percent))
-            if ((at < prefix[y]) & (y != x) & (np.minimum(i, at) + np.minimum(s - i, size[y] - at) >= need)).any():
-                return True
-        return False
-
-    def settle(x: int, overlap: np.ndarray) -> None:
-        hit = 100 * overlap >= percent * (size[x] + size - overlap)
-        hit[x] = False
+            need = -(-reach * (s + size[y]) // (100 + reach))
+            found[y[(at < prefix[y]) & (np.minimum(i, at) + np.minimum(s - i, size[y] - at) >= need)]] = True
+        found[x] = False
+        return np.flatnonzero(found)
+
+    def settle(x: int, some: np.ndarray, overlap: np.ndarray) -> None:
+        """Answers x, given its overlaps with the sets that may link to it."""
+        hit = (100 * overlap >= percent * (size[x] + size[some] - overlap)) & (some != x)
         if across:
-            hit &= block != block[x]
-        y = np.flatnonzero(hit)
+            hit &= block[some] != block[x]
+        y = some[hit]
         links[x] = weight[y].sum()
         own = np.unique(np.append(label[y], label[x]))
         if len(own) > 1:
             label[np.isin(label, own)] = own[0]
 
-    for leader in range(n):
-        if done[leader]:
+    for x in range(n):
+        if done[x]:
             continue
-        done[leader] = True
-        if not probe(leader):
+        done[x] = True
+        some = probe(x)
+        if len(some) == 0:
             continue
-        x = leader
-        overlap = np.bincount(entries(token[begin[x] : begin[x + 1]]), minlength=n)
-        settle(x, overlap)
-        while True:
-            # the open set that is most similar to x takes over x's overlaps
-            near = np.where(done, 0, overlap / (size[x] + size - overlap))
-            y = int(near.argmax())
-            if near[y] < 0.5:
-                break
-            a, b = token[begin[x] : begin[x + 1]], token[begin[y] : begin[y + 1]]
-            gone, come = np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)
-            overlap = overlap - np.bincount(entries(gone), minlength=n) + np.bincount(entries(come), minlength=n)
-            x = y
-            done[x] = True
-            settle(x, overlap)
+        some = np.append(some, x)
+        mine = token[begin[x] : begin[x + 1]]
+        shown[mine] = True
+        overlap = np.add.reduceat(shown[token[spread(begin[some], size[some])]].astype(np.int64), np.cumsum(size[some]) - size[some])
+        settle(x, some, overlap)
+        near = (100 * overlap >= (100 - NEAR) * (size[x] + size[some] - overlap)) & ~done[some]
+        where = np.full(n, len(some))
+        where[some] = np.arange(len(some))
+        for y in some[near]:
+            # y's overlaps are x's, less those through what only x has, and those through what only y has
+            theirs = token[begin[y] : begin[y + 1]]
+            come = theirs[~shown[theirs]]
+            gone = np.setdiff1d(mine, theirs, assume_unique=True)
+            count = lambda t: np.bincount(where[list_owner[spread(head[t], head[t + 1] - head[t])]], minlength=len(some) + 1)[:-1]
+            done[y] = True
+            settle(y, some, overlap - count(gone) + count(come))
+        shown[mine] = False
     out_label, out_links = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
     least = np.full(n, n)
     np.minimum.at(least, label, order)
@@ -147,52 +147,86 @@ def join_group(group: list[np.ndarray], block: np.ndarray, weight: np.ndarray, p
     return out_label, out_links
 
 
-def _pairs_by_signature(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): every document with the smallest doc_id of each signature it has, where that is another. No text is shuffled."""
-    bounds = boundaries(percent)
-
-    def emit(keep: bool | None, hot: np.ndarray):
-        def run(batches):
-            for b in batches:
-                found = [signatures(s, percent, bounds) for s in sets(raw(b.column(1)), n)]
-                sig = np.concatenate(found) if found else np.zeros(0, dtype=_U)
-                row = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                if keep is not None and len(hot):
-                    at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
-                    ok = (hot[at] == sig) == keep
-                    sig, row = sig[ok], row[ok]
-                yield pa.record_batch([b.column(0).take(pa.array(row, pa.int64())), pa.array(sig.view(np.int64))], names=["doc_id", "sig"])
-
-        return run
-
-    schema = "doc_id long, sig long"
-    sample = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_SAMPLE).distinct()
-    # a bounded sample finds signatures of large groups; it decides only how their rows travel, not what is linked
-    some = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text")
-    least = max(50, int(HOT_SHARE * HOT_SAMPLE))
-    hot = some.mapInArrow(emit(None, None), schema).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "sig").limit(50_000).select("sig").collect()
-    hot = np.sort(np.array([x.sig for x in hot], dtype=np.int64).view(_U))
-    cold = docs.select("doc_id", "text").mapInArrow(emit(False, hot), schema)
-    pairs = cold.select("doc_id", F.min("doc_id").over(Window.partitionBy("sig")).alias("b"))
-    if len(hot):
-        warm = docs.select("doc_id", "text").mapInArrow(emit(True, hot), schema)
-        # one row per hot signature, which the sample's share bounds
-        least_of = warm.groupBy("sig").agg(F.min("doc_id").alias("b"))
-        pairs = pairs.unionByName(warm.join(F.broadcast(least_of), "sig").select("doc_id", "b"))
-    return pairs.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-
-
-def _verified(heads: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
+def _gated(base: DataFrame, n: int, percent: int) -> DataFrame:
+    """base: doc_id, h (a hash of the text), text. Rows of two kinds: doc_id, h, size, k1, k2, shared of each document (its
+    set's size and digests), and doc_id, shared: of the shingles that it shows, so many are shown by another set of the
+    corpus as well; to be summed over a document's rows."""
+    buckets = meeting.buckets_of(base)
+    own = ["doc_id", "h", "size", "k1", "k2", "shared"]
+    names, schema = ["bucket", "n", "blob", *own], ", ".join(f"{c} long" for c in own)
+
+    def show(batches):
+        for (ids, h), texts in meeting.lots(batches, 2):
+            s = sets(texts, n)
+            size = np.array([len(x) for x in s], dtype=np.int64)
+            k1, k2 = (np.array(k, dtype=np.int64) for k in zip(*map(digests, s)))
+            # of the equal sets of a lot one is shown
+            lead = np.unique(np.stack([size, k1, k2], axis=1), axis=0, return_index=True)[1]
+            lead = np.sort(lead[size[lead] > 0])
+            some = [s[i][: asked(len(s[i]), percent)] for i in lead]
+            row = np.repeat(lead, [len(x) for x in some])
+            # 48 bits of a hash: a few more sets may pass, none is lost
+            key = np.concatenate(some) & ~_U(0xFFFF) if len(some) else np.zeros(0, dtype=_U)
+            u, first, at, often = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            known = np.bincount(row[often[at] > 1], minlength=len(s))
+            at_doc = np.array(ids, dtype=np.int64)
+            first = np.sort(first)
+            many = (often[at[first]] > 1).astype(np.int64)
+            b, m, x = meeting.blobs(key[first], [at_doc[row[first]], many], buckets)
+            none = pa.nulls(len(b), pa.int64())
+            yield pa.record_batch([pa.array(b, pa.int32()), pa.array(m, pa.int32()), pa.array(x, pa.binary()), *[none] * len(own)], names=names)
+            yield pa.record_batch([pa.array(at_doc % buckets, pa.int32()), pa.nulls(len(s), pa.int32()), pa.nulls(len(s), pa.binary()), *map(pa.array, (at_doc, np.array(h, dtype=np.int64), size, k1, k2, known))], names=names)
+
+    def tell(batches):
+        for rows, columns in meeting.by_bucket(batches, [np.int64, np.int64, np.uint64]):
+            if rows is not None:
+                yield rows.select(own)
+                continue
+            doc, many, key = columns
+            _, at, often = np.unique(key, return_inverse=True, return_counts=True)
+            # in several lots, or in several sets of one; where its own lot knew, a shingle is counted already
+            told = ((often[at] > 1) | (np.bincount(at, weights=many)[at] > 0)) & (many == 0)
+            ids, count = np.unique(doc[told], return_counts=True)
+            none = pa.nulls(len(ids), pa.int64())
+            yield pa.record_batch([pa.array(ids), none, none, none, none, pa.array(count.astype(np.int64))], names=own)
+
+    return meeting.met(base.mapInArrow(show, f"bucket int, n int, blob binary, {schema}")).mapInArrow(tell, schema)
+
+
+def _clusters(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the sets (node, text) that meet in a list of a shingle of both prefixes."""
+
+    def emit(batches):
+        for b in batches:
+            s = sets(raw(b.column(1)), n)
+            many = np.array([len(x) for x in s], dtype=np.int64)
+            flat = np.concatenate(s) if s else np.zeros(0, dtype=_U)
+            row = np.repeat(np.arange(len(s)), many)
+            yield pa.record_batch([b.column(0).take(pa.array(row)), pa.array(many[row]), pa.array(flat.view(np.int64))], names=["node", "n", "s"])
+
+    s = texts.select("node", "text").mapInArrow(emit, "node long, n long, s long")
+    often = s.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    shared = s.join(often, "s")
+    need = F.ceil(F.col("n") * percent / 100)
+    per = Window.partitionBy("node")
+    prefix = shared.withColumn("shared", F.count("*").over(per)).withColumn("place", F.row_number().over(per.orderBy("often", "s")))
+    # the shingles that one set alone has come first in its prefix; what is left of it are these
+    prefix = checkpoint(prefix.where((F.col("shared") >= need) & (F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - need + 1)).select("node", "s"))
+    first = prefix.groupBy("s").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1").select("s", "first")
+    return components(prefix.join(first, "s").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
+
+
+def _verified(texts: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, least, links) for each set and task that compared it: who it reaches there, and how many documents link to it."""
-    spark = heads.sparkSession
+    spark = texts.sparkSession
     sized = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = clusters.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # a cluster over one block is compared by pairs of blocks; each set goes to as many tasks as there are blocks
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     member = member.select("node", "component", "block", "weight", other.alias("o")).select("node", "component", "block", "weight", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     keys = ["component", "i", "j"]
-    rows = heads.select("doc_id", "text").join(member, heads.doc_id == member.node).select(*keys, "doc_id", "block", "weight", "text")
-    dealt = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "doc_id")
+    rows = texts.select("node", "text").join(few(member), "node").select(*keys, "node", "block", "weight", "text")
+    dealt = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "node")
 
     def run(batches):
         def finish(group):
@@ -220,52 +254,78 @@ def _verified(heads: DataFrame, clusters: DataFrame, n: int, percent: int) -> Da
     return dealt.mapInArrow(run, "node long, least long, links long")
 
 
+def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): doc_id, h (a hash of the text), n, k1, k2 of each row of docs that has a doc_id; and of each distinct
+    set that isn't empty n, k1, k2, component, component_id, n_links, component being a name without a meaning."""
+    small_batches(docs.sparkSession)
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(docs).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    gated = stored(_gated(known, n, percent))
+    rows = gated.where("size IS NOT NULL").select("doc_id", "h", F.col("size").alias("n"), "k1", "k2")
+    full = rows.where("n > 0")
+    keys = ["n", "k1", "k2"]
+    least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * MORE / 100))
+    shared = gated.where("shared > 0").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    passed = full.join(shared, "doc_id").where(F.col("shared") >= least).select(*keys).distinct()
+    classes = checkpoint(full.groupBy(*keys).agg(F.min(F.struct("doc_id", "h")).alias("head"), F.count("*").alias("weight")).select(*keys, "head.*", "weight"))
+    # a class is named by a digest, as several may have rows of one doc_id
+    heads = checkpoint(classes.join(passed, keys, "left_semi").select("doc_id", "h", F.col("k1").alias("node"), "n", "weight"))
+    texts = stored(known.join(few(heads.select("doc_id", "h", "node")), ["doc_id", "h"]).select("node", "text").dropDuplicates(["node"]))
+    sizes = heads.groupBy("node").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
+    clusters = checkpoint(_clusters(texts, n, percent).join(sizes, "node"))
+    checked = checkpoint(_verified(texts, clusters, n, percent))
+    comp = components(checked.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    named = classes.join(comp.withColumnRenamed("node", "k1"), "k1", "left").join(links.withColumnRenamed("node", "k1"), "k1", "left")
+    named = named.withColumn("component", F.coalesce("component", "k1"))
+    lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(lowest, "component").select(*keys, "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return rows, checkpoint(out)
+
+
+def _text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs.text, F.lit("")))
+
+
 def linked(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents that link to it directly, copies included), for each row.
+    """doc_id, n_shingles, component_id, n_links (rows that link to it directly, copies included), for each row.
 
     A document's set: the distinct runs of n words, lower-cased in A-Z; with fewer words the whole as one run. Two link
     when 100 * intersection >= percent * union. Null and empty texts have an empty set and link with nothing. Rows
-    that share a doc_id are one document to others; a row without doc_id has a null component and no links."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = text_of(docs)
+    that share a doc_id are compared each by its own text; a row without doc_id has a null component and no links."""
+    rows, classes = _linked(docs, n, percent)
+    out = rows.where("n > 0").join(classes, ["n", "k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    rest = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+
+    names = ["doc_id", "n_shingles", "component_id", "n_links"]
 
-    def digest(batches):
+    def alone(batches):
         for b in batches:
-            s = sets(raw(b.column(1)), n)
-            sums = lambda salt: pa.array(np.array([mix(x + _U(salt)).sum(dtype=_U) for x in s], dtype=_U).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array([len(x) for x in s], pa.int64()), sums(1), sums(2)], names=["doc_id", "n", "k1", "k2"])
-
-    own = checkpoint(base.mapInArrow(digest, "doc_id long, n long, k1 long, k2 long"))
-    some = own.where("doc_id IS NOT NULL AND n > 0")
-    classes = checkpoint(some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("head"), F.count("*").alias("weight")))
-    head_rows = classes.groupBy("head").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
-    known = base.where("doc_id IS NOT NULL")
-    # copies are folded into the first document of their class before anything is compared
-    head_of = checkpoint(some.join(classes, ["n", "k1", "k2"]).where("doc_id <> head").groupBy("doc_id").agg(F.min("head").alias("head")))
-    pairs = _pairs_by_signature(known, n, percent)
-    for c in ("a", "b"):
-        pairs = pairs.join(head_of.select(F.col("doc_id").alias(c), F.col("head").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-    clusters = checkpoint(components(pairs).join(head_rows, F.col("node") == F.col("head")).select("node", "component", "n", "weight"))
-    checked = checkpoint(_verified(known, clusters, n, percent))
-    comp = components(checked.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
-    of_class = classes.join(comp.withColumnRenamed("node", "head"), "head", "left").join(links.withColumnRenamed("node", "head"), "head", "left")
-    of_class = of_class.select("n", "k1", "k2", F.least("head", "component").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = some.join(of_class, ["n", "k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    rest = own.where("doc_id IS NULL OR n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionAll(rest)
+            size = pa.array([len(s) for s in sets(raw(b.column(0)), n)], pa.int64())
+            yield pa.record_batch([pa.nulls(b.num_rows, pa.int64()), size, pa.nulls(b.num_rows, pa.int64()), pa.array([0] * b.num_rows, pa.int64())], names=names)
+
+    lone = docs.where("doc_id IS NULL").select(F.coalesce("text", F.lit("")).alias("text"))
+    return out.unionAll(rest).unionAll(lone.mapInArrow(alone, "doc_id long, n_shingles long, component_id long, n_links long"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the document with the smallest doc_id stays, one row
-    of it where rows repeat. Rows without doc_id and documents with an empty set stay."""
-    kept = linked(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, docs.doc_id.cast("long") == F.col("kept_id"), "left_semi")
-    number = "number" + "_" * max(len(c) for c in docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    known = known.withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id stays (where two texts
+    have it, the one of the smaller hash), one of it where rows repeat. Rows without doc_id and those with an empty set stay.
+
+    No text is shuffled while the rows that go are few enough to be broadcast (see common.few)."""
+    rows, classes = _linked(docs, n, percent)
+    named = rows.where("n > 0").join(classes.select("n", "k1", "k2", "component"), ["n", "k1", "k2"])
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    counted = checkpoint(named.join(first, "component").groupBy("doc_id", "h", (F.struct("doc_id", "h") == F.col("first")).alias("stays")).agg(F.count("*").alias("c")))
+    name = lambda k: f"{k}{'_' * max([0, *(len(c) for c in docs.columns)])}"
+    of = lambda some: few(some.select(F.col("doc_id").alias(name("i")), F.col("h").alias(name("h"))))
+    same = (docs.doc_id.cast("long") == F.col(name("i"))) & (_text_hash(docs) == F.col(name("h")))
+    left = docs.join(of(counted.where("NOT stays")), same, "left_anti")
+    again = counted.where("stays AND c > 1")
+    if not again.limit(1).count():
+        return left
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    once = docs.join(of(again), same, "left_semi").withColumn(name("n"), F.row_number().over(order)).where(F.col(name("n")) == 1).drop(name("n"))
+    return left.join(of(again), same, "left_anti").unionByName(once)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
