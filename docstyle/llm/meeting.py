@@ -17,7 +17,7 @@ from .common import partitions
 from .textkernels import raw
 
 #: Texts are taken in lots of about so many bytes.
-LOT = 4 << 20
+LOT = 2 << 20
 #: Buckets for each shuffle partition: a task holds the rows of one bucket at a time.
 BUCKETS = 4
 _U = np.uint64

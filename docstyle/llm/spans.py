@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from . import meeting
+from .common import few, small_batches, stored, table
 from .textkernels import Words, mix, raw
 
 #: A span: at least this many sentences, and as many more as it takes to have this many words.
@@ -114,89 +115,108 @@ def keyed(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs.text, F.lit(""))) if again else F.lit(0).cast("long")
 
 
-def spans(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, key: Column | None = None) -> DataFrame:
-    """doc_id, key (see keyed()), place, hash of every span of every whole text.
+def covers(docs: DataFrame, key: Column, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """of, key, covers: for each text (doc_id and hash) that loses something, the sorted places of its spans that are not the
+    first of their hash, the order being doc_id, key (see keyed()), then position. A span has max(least, words) sentences at
+    most; its place is the number of its first and its sentences, as number * (max(least, words) + 1) + sentences.
 
-    A span has max(least, words) sentences at most; its place is the number of its first, at, and its sentences, size, as
-    at * (max(least, words) + 1) + size, so that they cross the network as one small number."""
+    A lot of texts knows all but its own first span of a hash to be no first; only that one crosses the network, so a passage
+    that a third of all documents share is as many rows as there are lots."""
     small_batches(docs.sparkSession)
     base = max(least, words) + 1
-    key = keyed(docs) if key is None else key
-
-    def run(batches):
-        for b in batches:
-            text, at, size, h = span_hashes(raw(b.column(1)), least, words)
-            yield pa.record_batch([b.column(0).take(pa.array(text)), b.column(2).take(pa.array(text)), pa.array(at * base + size), pa.array(h.view(np.int64))], names=["doc_id", "key", "place", "hash"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key")).mapInArrow(run, "doc_id long, key long, place long, hash long")
-
-
-def repeated(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, key: Column | None = None) -> DataFrame:
-    """doc_id, key, at, size of the spans that are not the first of their hash, the order being doc_id, key, then position.
-
-    The first occurrence is an aggregate that tasks combine before they shuffle, so a passage that a third of all
-    documents share is no hot group; it is joined back by hash, where a skewed hash can be split."""
-    base = max(least, words) + 1
-    s = spans(docs, least, words, key).where("doc_id IS NOT NULL")
-    first = s.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    return s.join(first, "hash").where("NOT (doc_id = first.doc_id AND key = first.key AND place = first.place)").select("doc_id", "key", "place").distinct().select("doc_id", "key", F.floor(F.col("place") / base).cast("int").alias("at"), (F.col("place") % base).cast("int").alias("size"))
-
-
-def _keep(text: bytes, covers: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
-    """The text without its covered sentences; bytes removed, runs removed, sentences removed."""
-    w, _, first, _ = sentences([text])
-    gone = np.zeros(len(first) + 1, dtype=np.int64)
-    for at, size in covers:
-        gone[at] += 1
-        gone[min(at + size, len(first))] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    # a sentence owns the white space after it, so that what stays is contiguous
-    begin = np.append(w.start[first], len(text))
-    if len(begin) > 1:
+    buckets = meeting.buckets_of(docs)
+    names = ["bucket", "n", "blob", "doc_id", "key", "place"]
+
+    def emit(batches):
+        for (ids, keys), texts in meeting.lots(batches, 2):
+            text, at, size, h = span_hashes(texts, least, words)
+            doc, key, place = np.array(ids, dtype=np.int64)[text], np.array(keys, dtype=np.int64)[text], at * base + size
+            order = np.lexsort((place, key, doc, h))
+            new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(order)]
+            first, later = np.sort(order[new]), np.sort(order[~new])
+            b, m, x = meeting.blobs(h[first], [doc[first], key[first], place[first]], buckets)
+            yield pa.record_batch([pa.array(b, pa.int32()), pa.array(m, pa.int32()), pa.array(x, pa.binary()), *[pa.nulls(len(b), pa.int64())] * 3], names=names)
+            yield pa.record_batch([pa.array(doc[later] % buckets, pa.int32()), pa.nulls(len(later), pa.int32()), pa.nulls(len(later), pa.binary()), pa.array(doc[later]), pa.array(key[later]), pa.array(place[later])], names=names)
+
+    def tell(batches):
+        for rows, columns in meeting.by_bucket(batches, [np.int64, np.int64, np.int64, np.uint64]):
+            if rows is not None:
+                yield rows.select(names[3:])
+                continue
+            doc, key, place, h = columns
+            order = np.lexsort((place, key, doc, h))
+            later = order[np.append(False, h[order[1:]] == h[order[:-1]])[: len(order)]]
+            yield pa.record_batch([pa.array(doc[later]), pa.array(key[later]), pa.array(place[later])], names=names[3:])
+
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    places = meeting.met(known.mapInArrow(emit, "bucket int, n int, blob binary, doc_id long, key long, place long")).mapInArrow(tell, "doc_id long, key long, place long")
+    return stored(places.groupBy(F.col("doc_id").alias("of"), "key").agg(F.sort_array(F.collect_set("place")).alias("covers")))
+
+
+def _cut(texts: list[bytes], found: list, base: int) -> list[tuple[bytes, int, int, int]]:
+    """For each text without the sentences of its spans' places (None: it has none): what is left; bytes, runs and
+    sentences removed."""
+    w, _, first, text = sentences(texts)
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+    out = []
+    for i, (t, places) in enumerate(zip(texts, found)):
+        if places is None:
+            out.append((t, 0, 0, 0))
+            continue
+        own = first[bounds[i] : bounds[i + 1]]
+        places = np.array(places, dtype=np.int64)
+        gone = np.zeros(len(own) + 1, dtype=np.int64)
+        np.add.at(gone, places // base, 1)
+        np.add.at(gone, np.minimum(places // base + places % base, len(own)), -1)
+        gone = np.cumsum(gone)[:-1] > 0
+        # a sentence owns the white space after it, so that what stays is contiguous
+        begin = np.append(w.start[own] - w.text_start[i], len(t))
         begin[0] = 0
-    kept = b"".join(text[begin[i] : begin[i + 1]] for i in np.flatnonzero(~gone))
-    return kept, len(text) - len(kept), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), int(gone.sum())
+        kept = b"".join(t[begin[k] : begin[k + 1]] for k in np.flatnonzero(~gone))
+        out.append((kept, len(t) - len(kept), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), int(gone.sum())))
+    return out
 
 
-def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """doc_id, text (null becomes empty, repeated spans removed), n_removed (bytes), n_spans, n_sentences for each row.
+def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, counts: bool = False) -> DataFrame:
+    """The same rows and columns with repeated spans taken out of text; n_chars, if there, follows. counts: three columns
+    more, at the end: removed_bytes, removed_runs, removed_sentences (a name that docs has is lengthened by underscores).
 
     A document's own later repeats go as well. Rows that share a doc_id are told apart by their text; rows
-    without doc_id keep their text and are compared with nothing. Texts under `least` sentences or `words` words hold
-    no span. Spans compare lower-cased words, so other spacing or case does not hide a repeat."""
-    key = keyed(docs)
-    covers = repeated(docs, least, words, key).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    joined = base.join(covers, (base.doc_id == covers.of) & (base.key == covers.of_key), "left").select("doc_id", "text", "covers")
+    without doc_id keep their text and are compared with nothing, null texts stay null. Texts under `least` sentences or
+    `words` words hold no span. Spans compare lower-cased words, so other spacing or case does not hide a repeat.
+    Only texts that lose something are shuffled, while they are few enough for their ids to be broadcast (common.few)."""
+    key, names, base = keyed(docs), docs.columns, max(least, words) + 1
+    found = covers(docs, key, least, words)
+    more = [c + "_" * (c in names) * max(map(len, names)) for c in ("removed_bytes", "removed_runs", "removed_sentences")]
+    i, k, c = (x + "_" * max(map(len, names)) for x in ("of", "key", "covers"))
+    found = found.select(F.col("of").alias(i), F.col("key").alias(k), F.col("covers").alias(c))
+    same = (docs.doc_id.cast("long") == F.col(i)) & (key == F.col(k))
+    ids = found.select(i, k)
+    marked = few(ids)
+    some = docs if marked is ids else docs.join(marked, same, "left_semi")
+    joined = some.join(found, (some.doc_id.cast("long") == F.col(i)) & (key == F.col(k)), "left").select(*[some[x] for x in names], c)
+    at = names.index("text")
 
     def run(batches):
         for b in batches:
-            rows = [(t, 0, 0, 0) if c is None else _keep(t, [(x["at"], x["size"]) for x in c]) for t, c in zip(raw(b.column(1)), b.column(2).to_pylist())]
-            cols = [pa.array([r[0] for r in rows], pa.binary()).cast(pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))]
-            yield pa.record_batch([b.column(0), *cols], names=["doc_id", "text", "n_removed", "n_spans", "n_sentences"])
+            null = b.column(at).is_null()
+            done = _cut(raw(b.column(at)), b.column(len(names)).to_pylist(), base)
+            text = pa.array([None if z else x[0] for x, z in zip(done, null.to_pylist())], pa.binary()).cast(pa.string())
+            yield pa.record_batch([*(b.column(j) if j != at else text for j in range(len(names))), *(pa.array([x[j] for x in done], pa.int64()) for j in (1, 2, 3))], names=[*names, *more])
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_removed long, n_spans long, n_sentences long")
+    out = joined.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{x}` long" for x in more)]))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    if marked is not ids:
+        out = out.unionByName(docs.join(marked, same, "left_anti").select("*", *[F.lit(0).cast("long").alias(x) for x in more]))
+    return out if counts else out.select(*names)
 
 
-def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """The same rows and columns with repeated spans taken out of text; n_chars, if there, follows. See remove()."""
-    key = keyed(docs)
-    covers = repeated(docs, least, words, key).groupBy(F.col("doc_id").alias("of"), F.col("key").alias("of_key")).agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("covers"))
-    name = "covers" + "_" * max([0, *(len(c) for c in docs.columns)])
-    joined = docs.join(covers.select(F.col("of").alias(f"{name}1"), F.col("of_key").alias(f"{name}2"), F.col("covers").alias(name)), (docs.doc_id.cast("long") == F.col(f"{name}1")) & (key == F.col(f"{name}2")), "left").select(*[docs[c] for c in docs.columns], name)
-    names = docs.columns
-    at = names.index("text")
-
-    def run(batches):
-        for b in batches:
-            covers = b.column(b.num_columns - 1).to_pylist()
-            old = b.column(at).to_pylist()
-            new = [t if c is None or t is None else _keep(t.encode(), [(x["at"], x["size"]) for x in c])[0].decode() for t, c in zip(old, covers)]
-            cols = [b.column(i) if i != at else pa.array(new, pa.string()) for i in range(b.num_columns - 1)]
-            yield pa.record_batch(cols, names=names)
-
-    out = joined.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def remove(docs: DataFrame, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """doc_id, text (null becomes empty, repeated spans removed), n_removed (bytes), n_spans, n_sentences for each row.
+    See cleaned()."""
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return cleaned(plain, least, words, counts=True).toDF("doc_id", "text", "n_removed", "n_spans", "n_sentences")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
