@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranges_of, table, text_of, values_table
+from .common import checkpoint, ranges_of, stored, table, text_of, values_table
 
 SLOTS = 64
 
@@ -23,16 +23,20 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 def samples(terms: DataFrame, keys: list[str], slots: int = SLOTS, *more: Column) -> DataFrame:
     """keys and s0, s1, ...: each slot's least sample over rows (keys, term long, weight).
 
-    With r and c from gamma(2, 1) and beta uniform, t = floor(ln w / r + beta) and ln a = ln c - r (t - beta + 1). As
+    With r and c from gamma(2, 1) and beta uniform, t = floor(ln w / r + beta) and ln a = ln c - r (t - beta + 1). r is the sum
+    of two exponentials; c, of which only small values win, is the quantile of a uniform u by its series in sqrt(2 u), within
+    3 % up to the median and closer below. As
     ln a is a function of the term, the slot and t, equal values of the least ln a stand for equal (term, t), so
-    the value itself is the sample: a fixed-width aggregate that runs in generated code and is combined by tasks."""
+    the value itself is the sample: a fixed-width aggregate that runs in generated code and is combined by tasks. Spark takes
+    logarithms by StrictMath, which gives the same bits on every machine."""
     logw = F.log("weight")
     aggs = []
     for j in range(slots):
-        h, g = F.xxhash64("term", F.lit(2 * j)), F.xxhash64("term", F.lit(2 * j + 1))
-        r = -F.log(_uniform(h, 0, 21) * _uniform(h, 21, 21))
-        beta = _uniform(h, 42, 22)
-        c = -F.log(_uniform(g, 0, 32) * _uniform(g, 32, 32))
+        h = F.xxhash64("term", F.lit(j))
+        r = -F.log(_uniform(h, 0, 13) * _uniform(h, 13, 13))
+        x = F.sqrt(_uniform(h, 26, 26) * F.lit(2.0))
+        c = x * (F.lit(1.0) + x * (F.lit(1 / 3) + x * (F.lit(11 / 72) + x * (F.lit(43 / 540) + x * (F.lit(769 / 17280) + x * F.lit(221 / 8505))))))
+        beta = _uniform(h, 52, 12)
         aggs.append(F.min(F.log(c) - r * (F.floor(logw / r + beta) - beta + F.lit(1.0))).alias(f"s{j}"))
     return terms.groupBy(*keys).agg(*aggs, *more)
 
@@ -43,14 +47,14 @@ def text_terms(text: Column) -> Column:
     return F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
 
 
-def fingerprint_of(slots: int = SLOTS) -> Column:
-    """32 bits of each slot's sample, as hexadecimal."""
-    return F.array_join(F.array(*[F.lower(F.lpad(F.hex(F.xxhash64(f"s{j}").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for j in range(slots)]), "")
+def fingerprint_of(prefix: str, slots: int = SLOTS) -> Column:
+    """16 bits of each slot's sample, as bytes."""
+    return F.unhex(F.array_join(F.array(*[F.lpad(F.hex(F.xxhash64(f"{prefix}{j}").bitwiseAND(F.lit(0xFFFF))), 4, "0") for j in range(slots)]), ""))
 
 
 def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
     """Share of the slots in which two fingerprints agree."""
-    same = [(F.substring(a, 8 * j + 1, 8) == F.substring(b, 8 * j + 1, 8)).cast("int") for j in range(slots)]
+    same = [(F.substring(a, 2 * j + 1, 2) == F.substring(b, 2 * j + 1, 2)).cast("int") for j in range(slots)]
     total = same[0]
     for x in same[1:]:
         total = total + x
@@ -73,27 +77,35 @@ def following(ids: DataFrame, ranges: int = 256) -> DataFrame:
 
 
 def _signed(rows: DataFrame, slots: int) -> DataFrame:
-    """(doc_id, text, head), dealt out by doc_id, to (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint).
+    """(doc_id, text, head, next_id), dealt out by doc_id, to (doc_id, next_id, n_chars, edited_sha256, fingerprint,
+    edited_fingerprint), the last three as bytes.
 
-    The two texts of a row are its sides 0 and 1; its other results travel beside them as sides of one term, for the
-    aggregates then hold fixed-width values only. Nothing here needs an exchange, as every group has doc_id first."""
+    The two texts of a row are its sides 0 and 1. A term that has the same weight in both, as most of the half that they share,
+    is drawn for once: mask 3, where masks 1 and 2 hold what one side alone has. A row's other results travel beside them as
+    sides of one term, for the aggregates then hold fixed-width values only. Nothing here needs an exchange, as every group
+    has doc_id first."""
     rows = rows.withColumn("n_chars", F.length("text"))
     half = (F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("head", F.lit(1), half)))
     rows = rows.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256))
     parts = [F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10) for i in range(8)]
-    sides = [F.col("text"), F.col("edited"), F.col("n_chars").cast("string"), *parts]
+    sides = [F.col("text"), F.col("edited"), F.col("n_chars").cast("string"), F.col("next_id").cast("string"), *parts]
     # the row's number is taken below the generator, so that all sides of a row share it
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("doc_id", "row", F.inline(F.array(*[F.struct(F.lit(i).alias("side"), t.alias("t")) for i, t in enumerate(sides)])))
     words = rows.select("doc_id", "row", "side", F.explode(text_terms(F.col("t"))).alias("w"))
     term = F.when(F.col("side") < 2, F.xxhash64("w")).otherwise(F.col("w").try_cast("long"))
-    counted = words.groupBy("doc_id", "row", "side", term.alias("term")).agg(F.count("*").alias("weight"))
-    signed = samples(counted, ["doc_id", "row", "side"], slots, F.max("term").alias("carried"))
-    flat = signed.select("doc_id", "row", "side", "carried", fingerprint_of(slots).alias("f"))
-    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    sha = F.concat(*[F.lpad(F.lower(F.hex(of(3 + i, "carried"))), 8, "0") for i in range(8)])
-    return flat.groupBy("doc_id", "row").agg(of(2, "carried").alias("n_chars"), sha.alias("edited_sha256"), of(0, "f").alias("fingerprint"), of(1, "f").alias("edited_fingerprint")).drop("row")
+    times = [F.sum((F.col("side") == i).cast("long")).alias(c) for i, c in enumerate("ab")]
+    counted = words.groupBy("doc_id", "row", F.greatest("side", F.lit(1)).alias("kind"), term.alias("term")).agg(*times)
+    one = lambda *x: F.array(*[F.struct(m.alias("mask"), w.alias("weight")) for m, w in x])
+    a, b = F.col("a"), F.col("b")
+    weighted = F.when(F.col("kind") > 1, one((F.col("kind") + 2, F.lit(1).cast("long")))).when(a == b, one((F.lit(3), a))).when(a == 0, one((F.lit(2), b))).when(b == 0, one((F.lit(1), a))).otherwise(one((F.lit(1), a), (F.lit(2), b)))
+    drawn = samples(counted.select("doc_id", "row", "term", F.inline(weighted)), ["doc_id", "row", "mask"], slots, F.max("term").alias("carried"))
+    least = [F.min(F.when(F.col("mask").isin(i, 3), F.col(f"s{j}"))).alias(f"{c}{j}") for i, c in ((1, "a"), (2, "b")) for j in range(slots)]
+    carried = [F.max(F.when(F.col("mask") == 4 + i, F.col("carried"))).alias(f"c{i}") for i in range(10)]
+    flat = drawn.groupBy("doc_id", "row").agg(*least, *carried)
+    sha = F.unhex(F.concat(*[F.lpad(F.hex(f"c{2 + i}"), 8, "0") for i in range(8)]))
+    return flat.select("doc_id", F.col("c1").alias("next_id"), F.col("c0").alias("n_chars"), sha.alias("edited_sha256"), fingerprint_of("a", slots).alias("fingerprint"), fingerprint_of("b", slots).alias("edited_fingerprint"))
 
 
 def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -112,14 +124,16 @@ def fingerprints(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     order = checkpoint(following(known.select("doc_id")))
     half = known.select("doc_id", (F.length("text") / 2).cast("int").alias("half")).groupBy("doc_id").agg(F.max("half").alias("half"))
     need = order.join(half, "doc_id").select(F.col("doc_id").alias("of"), F.col("next_id").alias("doc_id"), "half")
-    prefix = known.join(need, "doc_id").select(F.col("of").alias("doc_id"), F.substring("text", F.lit(1), F.col("half")).alias("head"))
-    prefix = prefix.groupBy("doc_id").agg(F.min("head").alias("head"))
+    prefix = known.join(need, "doc_id").select(F.col("of").alias("doc_id"), F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("half")).alias("head"))
+    prefix = prefix.groupBy("doc_id").agg(F.min("head").alias("head"), F.min("next_id").alias("next_id"))
     signed = _signed(known.join(prefix, "doc_id"), slots)
-    lone = _signed(base.where("doc_id IS NULL").withColumn("head", F.lit("")), slots)
-    signed = checkpoint(signed.unionAll(lone))
-    after = signed.groupBy(F.col("doc_id").alias("next_id")).agg(F.min("fingerprint").alias("next_fingerprint"))
-    out = signed.join(order, "doc_id", "left").join(after, "next_id", "left")
-    return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), slots).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), slots).alias("near_next"))
+    lone = _signed(base.where("doc_id IS NULL").withColumn("head", F.lit("")).withColumn("next_id", F.lit(None).cast("long")), slots)
+    signed = stored(signed.unionAll(lone))
+    after = signed.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.hex("fingerprint")).alias("next_fingerprint"))
+    out = signed.join(after.withColumn("next_fingerprint", F.unhex("next_fingerprint")), "next_id", "left")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    near = lambda c: likeness(F.col("fingerprint"), F.col(c), slots)
+    return out.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
