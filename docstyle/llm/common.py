@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -28,7 +29,7 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a copy in the folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder serves."""
+    Where that setting is absent a temporary folder serves in local mode, as in tests; on a cluster it is an error."""
     _shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -47,7 +48,10 @@ def stored(df: DataFrame) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 

@@ -39,6 +39,8 @@ def decode(data: bytes | None) -> np.ndarray | None:
             if packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or h == 0:
                 return None
             stride = (w * bits + 31) // 32 * 4
+            if stride * abs(h) > len(data):
+                return None
             rows = np.frombuffer(data, np.uint8, stride * abs(h), at).reshape(abs(h), stride)[:, : w * bits // 8]
             rows = rows if h < 0 else rows[::-1]
             if bits == 8:
@@ -55,9 +57,12 @@ def decode(data: bytes | None) -> np.ndarray | None:
             at = m.end()
         (w, h), most = head[:2], (head[2] if len(head) == 3 else 1)
         depth = 3 if kind in (3, 6) else 1
+        # a sample takes a bit at least, and the largest value of one is 1 to 65535
+        if w * h * depth > 8 * len(data) or not 0 < most < 65536:
+            return None
         if kind <= 3:
             body = data[at:]
-            flat = np.array([int(c) for c in re.findall(rb"[01]", body)] if kind == 1 else body.split(), dtype=np.int64)[: w * h * depth]
+            flat = np.array([int(c) for c in re.findall(rb"[01]", body)] if kind == 1 else body.split()[: w * h * depth], dtype=np.int64)[: w * h * depth]
         elif kind == 4:
             bits = np.unpackbits(np.frombuffer(data, np.uint8, (w + 7) // 8 * h, at + 1).reshape(h, -1), axis=1)
             flat = bits[:, :w].reshape(-1)
@@ -68,7 +73,7 @@ def decode(data: bytes | None) -> np.ndarray | None:
         elif most != 255:
             flat = flat.astype(np.int64) * 255 // most
         return flat.astype(np.uint8).reshape((h, w, 3) if depth == 3 else (h, w))
-    except (ValueError, TypeError, struct.error, IndexError):
+    except (ValueError, TypeError, struct.error, IndexError, OverflowError):
         return None
 
 
@@ -160,4 +165,4 @@ def media_digest(media: DataFrame) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(text_media(table(spark, sf_dir, "documents"))).drop("tile")
+    return media_digest(text_media(table(spark, sf_dir, "documents")))

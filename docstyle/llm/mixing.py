@@ -119,13 +119,22 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the input's columns, a row for each time a document is taken, in no order between shards but
     shuffled within them (column mix_shard aside, repartition by it and sort by mix_place to write shards).
 
-    A document taken in part keeps its first words. Rows that are equal throughout are taken alike."""
+    A document taken in part keeps its beginning up to its last word taken, white space included. Rows that are equal
+    throughout are taken alike. Columns added: mix_size, mix_taken, mix_place, mix_time, mix_shard; a name that the input
+    has is lengthened by underscores."""
+    width = max([0, *map(len, docs.columns)])
+    of = lambda k: k + "_" * width * (k in docs.columns)
+    own, key = ("mix" + "_" * width + x for x in "ik")
     p = plan(sized(docs), **options).where("taken > 0 OR (size = 0 AND size(shards) > 0)")
-    p = p.groupBy(F.col("doc_id").alias("mix_id"), F.col("key").alias("mix_key")).agg(F.min(F.struct("size", "taken", "shards", "place")).alias("m"))
-    j = docs.join(p, docs.doc_id.cast("long").eqNullSafe(F.col("mix_id")) & (_key() == F.col("mix_key")))
-    j = j.select(*[docs[c] for c in docs.columns], F.col("m.size").alias("mix_size"), F.col("m.taken").alias("mix_taken"), F.col("m.place").alias("mix_place"), F.posexplode("m.shards").alias("mix_time", "mix_shard"))
-    words = F.least(F.col("mix_size"), F.col("mix_taken") - F.col("mix_time") * F.col("mix_size")).cast("int")
-    head = F.when(words >= F.col("mix_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(words, F.lit(0))), " "))
+    p = p.groupBy(F.col("doc_id").alias(own), F.col("key").alias(key)).agg(F.min(F.struct("size", "taken", "shards", "place")).alias(own + "m"))
+    j = docs.join(p, docs.doc_id.cast("long").eqNullSafe(F.col(own)) & (_key() == F.col(key)))
+    m = lambda k: F.col(f"`{own}m`.{k}").alias(of(f"mix_{k}"))
+    j = j.select(*[docs[c] for c in docs.columns], m("size"), m("taken"), m("place"), F.posexplode(F.col(f"`{own}m`.shards")).alias(of("mix_time"), of("mix_shard")))
+    size = F.col(of("mix_size"))
+    words = F.least(size, F.col(of("mix_taken")) - F.col(of("mix_time")) * size).cast("int")
+    # split at words, the last piece being what follows the last word taken
+    after = F.element_at(F.split("text", WORD, F.greatest(words, F.lit(0)) + 1), -1)
+    head = F.when(words >= size, F.col("text")).when(words > 0, F.substring("text", F.lit(1), F.length("text") - F.length(after))).otherwise(F.lit(""))
     out = j.withColumn("text", head)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 

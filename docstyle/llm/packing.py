@@ -169,15 +169,17 @@ def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, l
     return out
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...).
+def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64, copies: bool = False) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...); copies: and copy, which numbers pieces of one
+    doc_id and number from 0, as where a mix has taken a document twice. The pieces' own columns stay whatever their names.
 
     Pieces of a length are ranked within hash-salted groups, shifted by exact counts, so that a length that a third of
     all pieces have is ranked by many tasks; the rank then decides the sequence by binary search in the plan. The
-    driver holds at most capacity * salts counts. Nulls can't occur in pieces(); an empty table gives no rows."""
-    spark = parts.sparkSession
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counted = sorted((x.length, x.salt, x.n) for x in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect())
+    driver holds at most capacity * salts counts; more salts part the pieces of one length over more tasks. Nulls can't
+    occur in pieces(); an empty table gives no rows."""
+    salt_, rank_, copy_ = (x + "_" * max(map(len, parts.columns)) for x in ("salt", "rank", "copy"))
+    salted = parts.withColumn(salt_, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    counted = sorted(tuple(x) for x in salted.groupBy("length", salt_).agg(F.count("*").alias("n")).collect())
     keys = np.array([x * salts + s for x, s, _ in counted], dtype=np.int64)
     n = np.array([x[2] for x in counted], dtype=np.int64)
     histogram = np.zeros(capacity + 1, dtype=np.int64)
@@ -196,11 +198,13 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFra
     lengths, first_rank, many, first_sequence, first_offset = table_.T.copy()
     begins = np.searchsorted(lengths, np.arange(capacity + 2))
     names = [c for c in parts.columns]
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    ranked = salted.withColumn(rank_, F.row_number().over(Window.partitionBy("length", salt_).orderBy("doc_id", "piece", "ids_crc32")))
+    # equal pieces lie side by side in that order, so this needs no exchange and no sort of its own
+    ranked = ranked.withColumn(copy_, F.row_number().over(Window.partitionBy("length", salt_, "doc_id", "piece").orderBy("ids_crc32")) - 1)
 
     def run(batches):
         for b in batches:
-            length, salt, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "salt", "rank"))
+            length, salt, rank = (b.column(b.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", salt_, rank_))
             rank = before[np.searchsorted(keys, length * salts + salt)] + rank - 1
             at = np.empty(len(length), dtype=np.int64)
             for x in np.unique(length):
@@ -209,10 +213,11 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFra
                 at[mine] = lo + np.searchsorted(first_rank[lo:hi], rank[mine], side="right") - 1
             q = rank - first_rank[at]
             cols = [b.column(b.schema.get_field_index(c)) for c in names]
-            yield pa.record_batch([*cols, pa.array(first_sequence[at] + q // many[at]), pa.array(first_offset[at] + q % many[at] * length)], names=[*names, "sequence_id", "offset"])
+            more = [b.column(b.schema.get_field_index(copy_)).cast(pa.int32())] * copies
+            yield pa.record_batch([*cols, pa.array(first_sequence[at] + q // many[at]), pa.array(first_offset[at] + q % many[at] * length), *more], names=[*names, "sequence_id", "offset", *["copy"] * copies])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long" + ", copy int" * copies)
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:

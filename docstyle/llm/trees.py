@@ -216,10 +216,16 @@ def labels_of(labels: DataFrame, column: str, fold: int, of: int) -> DataFrame:
     return known.where(~held_out(fold, of)).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, fold: int = 2, of: int = 4) -> Forest:
-    """Trains on at most `rows` labelled documents outside of the held-out fold; without any label the score is 0.5."""
-    chosen = stats.join(labels_of(labels, "quality", fold, of), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = chosen.select("stats", "y").toPandas()
+def sampled(labels: DataFrame, column: str, rows: int, fold: int, of: int) -> DataFrame:
+    """At most `rows` labels outside of the held-out fold, by a hash of doc_id, to broadcast: two short columns of a bounded number."""
+    return F.broadcast(labels_of(labels, column, fold, of).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+
+
+def fit_quality(stats: DataFrame, sample: DataFrame) -> Forest:
+    """Trains on the documents of a sample of labels; without any label the score is 0.5."""
+    got = stats.join(sample, "doc_id").select("doc_id", "stats", "y").toPandas()
+    # an order of their own, so that sums of floats do not depend on partitions
+    got = got.assign(key=[s.tobytes() for s in got.stats.map(np.array)]).sort_values(["doc_id", "key"])
     x = np.array(got.stats.tolist(), dtype=np.float32).reshape(len(got), len(NAMES))
     return train(x, got.y.to_numpy(dtype=np.float64))
 
@@ -230,7 +236,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
     Each row has its own score: repeated rows and rows without doc_id or text included. Statistics are written once,
     for training and scoring; no text is shuffled."""
     stats = checkpoint(features(docs))
-    forest = fit_quality(stats, labels, rows)
+    forest = fit_quality(stats, sampled(labels, "quality", rows, 2, 4))
 
     def run(batches):
         for b in batches:
@@ -242,8 +248,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, th
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score `threshold` or more, with all their columns; nothing but training data is shuffled."""
-    forest = fit_quality(features(docs), labels, rows)
+    """The rows of docs that score `threshold` or more, with all their columns; nothing but training data is shuffled, and
+    of the texts only those of the sample are looked at twice."""
+    sample = sampled(labels, "quality", rows, 2, 4)
+    forest = fit_quality(features(text_of(docs).join(sample.select("doc_id"), "doc_id", "left_semi")), sample)
     at = docs.columns.index("text")
 
     def run(batches):
