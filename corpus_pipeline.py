@@ -31,8 +31,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
-    return packing.pack(common.checkpoint(packing.pieces(docs)))
+    """The pieces of all documents with their sequences and offsets, and which copy of a document taken several times."""
+    return packing.pack(common.checkpoint(packing.pieces(docs)), copies=True)
 
 
 STAGES = [("quality", quality), ("near duplicates", near_duplicates), ("repeated spans", repeated_spans), ("mixture", mixture), ("packing", packed)]
