@@ -114,6 +114,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     checkpointed. Neighbourhoods are never collected: the smallest neighbour is an aggregate joined back by key.
     """
     e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(most_rounds):
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -217,41 +217,46 @@ def _clusters(texts: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def _verified(texts: DataFrame, clusters: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, least, links) for each set and task that compared it: who it reaches there, and how many documents link to it."""
+    """(node, least, links, whole) for each set and task that compared it: who it reaches there, how many documents link to
+    it, and whether that task had its whole cluster."""
     spark = texts.sparkSession
     sized = clusters.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     member = clusters.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # a cluster over one block is compared by pairs of blocks; each set goes to as many tasks as there are blocks
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    member = member.select("node", "component", "block", "weight", other.alias("o")).select("node", "component", "block", "weight", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    member = member.select("node", "component", "block", "weight", "blocks", other.alias("o")).select("node", "component", "block", "weight", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), (F.col("blocks") == 1).alias("whole"))
     keys = ["component", "i", "j"]
-    rows = texts.select("node", "text").join(few(member), "node").select(*keys, "node", "block", "weight", "text")
+    rows = texts.select("node", "text").join(few(member), "node").select(*keys, "node", "block", "weight", "whole", "text")
     dealt = rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "node")
 
     def run(batches):
         def finish(group):
-            s = sets([r[4] for r in group], n)
+            s = sets([r[5] for r in group], n)
             label, links = join_group(s, np.array([r[2] for r in group]), np.array([r[3] for r in group]), percent, group[0][0][1] != group[0][0][2])
             ids = [r[1] for r in group]
-            return ids, [min(ids[x], ids[i]) for i, x in enumerate(label.tolist())], links.tolist()
+            return ids, [min(ids[x], ids[i]) for i, x in enumerate(label.tolist())], links.tolist(), [r[4] for r in group]
+
+        def give(columns):
+            kinds = [pa.int64()] * 3 + [pa.bool_()]
+            return pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds)], names=["node", "least", "links", "whole"])
 
         held, key = [], None
         for b in batches:
-            node, least, links = [], [], []
+            found: tuple[list, ...] = ([], [], [], [])
             k = list(zip(*(b.column(i).to_pylist() for i in range(3))))
-            rest = zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), raw(b.column(6)))
+            rest = zip(*(b.column(i).to_pylist() for i in range(3, 7)), raw(b.column(7)))
             for here, r in zip(k, rest):
                 if here != key:
                     if len(held) > 1:
-                        for out, new in zip((node, least, links), finish(held)):
+                        for out, new in zip(found, finish(held)):
                             out += new
                     held, key = [], here
                 held.append((here, *r))
-            yield pa.record_batch([pa.array(node, pa.int64()), pa.array(least, pa.int64()), pa.array(links, pa.int64())], names=["node", "least", "links"])
+            yield give(found)
         if len(held) > 1:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in finish(held)], names=["node", "least", "links"])
+            yield give(finish(held))
 
-    return dealt.mapInArrow(run, "node long, least long, links long")
+    return dealt.mapInArrow(run, "node long, least long, links long, whole boolean")
 
 
 def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -273,7 +278,9 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     sizes = heads.groupBy("node").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
     clusters = checkpoint(_clusters(texts, n, percent).join(sizes, "node"))
     checked = checkpoint(_verified(texts, clusters, n, percent))
-    comp = components(checked.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    # what one task has seen as a whole is settled
+    part = checked.where("NOT whole").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    comp = checked.where("whole").select("node", F.col("least").alias("component")).unionAll(components(part))
     links = checked.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(comp.withColumnRenamed("node", "k1"), "k1", "left").join(links.withColumnRenamed("node", "k1"), "k1", "left")
     named = named.withColumn("component", F.coalesce("component", "k1"))
