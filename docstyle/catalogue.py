@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import corpus, factor, lexicon, semantic, sequence, syntax, textstats
+from .operators import corpus, factor, lexicon, scoring, semantic, sequence, syntax, textstats
 
 #: Lexica for queries: a few frequent words of the test prose, and terms that it lacks.
 NORM = [("the", 1.5), ("of", 2.25), ("and", 3.75), ("in", 4.5), ("that", 2.0), ("de", 3.25), ("der", 1.25), ("la", 4.75), ("und", 2.5), ("zyzzyva", 5.0)]
@@ -17,7 +17,7 @@ VOCABULARY = ["the", "of", "and", "in", "is", "to", "that", "de", "la", "der", "
 POS = ["NOUN", "VERB", "AUX", "ADJ", "ADV", "PRON", "DET"]
 DEP = ["nsubj", "advcl", "conj", "cc", "obj", "ccomp", "relcl", "amod"]
 #: A fitted model for the apply queries: feature, mean, scale, weights on two factors.
-MODEL = [("mattr", 0.75, 0.125, 0.5, -0.25), ("h_unigram_mean", 4.0, 0.5, 0.375, 0.125), ("comma_rate", 12.0, 8.0, -0.25, 0.625), ("exclamation_rate", 0.5, 1.5, 0.125, 0.75)]
+MODEL = [("mattr", 0.75, 0.125, 0.5, -0.25), ("H_unigram_win_mean_nats", 4.0, 0.5, 0.375, 0.125), ("comma_rate", 12.0, 8.0, -0.25, 0.625), ("exclamation_rate", 0.5, 1.5, 0.125, 0.75)]
 METRICS = [m[0] for m in MODEL]
 
 
@@ -25,7 +25,7 @@ def docs_of(spark: SparkSession, d: str) -> DataFrame:
     """documents, dealt out again: a file may be one task, and Python kernels want all cores."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs if docs.rdd.getNumPartitions() >= n else docs.repartition(n)
+    return docs if len(docs.inputFiles()) >= n else docs.repartition(n)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -41,8 +41,8 @@ def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
     return df.select(*[F.round(F.col(n) + F.lit(nudge), digits).alias(n) if k in ("double", "float") else F.col(n) for n, k in df.dtypes])
 
 
-def sequences_hashed(spark, d):
-    return sequence.sequence_metrics(docs_of(spark, d), split="hashed")
+def sequences_hashed(spark, d, *wanted):
+    return sequence.sequence_metrics(docs_of(spark, d), wanted=wanted, split="hashed")
 
 
 def parse_table(docs: DataFrame) -> DataFrame:
@@ -60,28 +60,26 @@ def vectors_of(spark, d) -> DataFrame:
 
 
 def metrics(spark, d) -> DataFrame:
-    """doc_id, source and the metrics of the model; some nulls, as short texts leave metrics undefined."""
-    docs = docs_of(spark, d)
+    """doc_id, source and the metrics of the model, in one pass; nulls where a text leaves a metric undefined."""
     p = T.punctuation(F.col("text"))
-    m = sequence.sequence_metrics(docs, split="hashed").select("doc_id", "mattr", "h_unigram_mean")
-    return docs.select("doc_id", "source", p["comma_rate"].alias("comma_rate"), F.when(F.length("text") >= 200, p["exclamation_rate"]).alias("exclamation_rate")).join(m, "doc_id")
+    docs = docs_of(spark, d).select("doc_id", "source", "text", *[p[c].alias(c) for c in ("comma_rate", "exclamation_rate")])
+    return scoring.token_metrics(docs, ["doc_id", "source", "comma_rate", "exclamation_rate"], ["mattr", "H_unigram_win_mean_nats"])
 
 
 def flagship(spark, d) -> DataFrame:
     """Documents to metrics, imputed, scaled, and scored on two factors: one row per (id, source)."""
-    m = factor.impute(metrics(spark, d), METRICS)
-    s = factor.scale(m, METRICS)
+    m = metrics(spark, d)
+    s = factor.transform(m, factor.statistics(m, METRICS))
     w = np.array([[x[3], x[4]] for x in MODEL])
     return rounded(factor.scores(s, METRICS, w, [F.col("doc_id").cast("string").alias("id"), "source", *METRICS]))
 
 
 def fitted(spark, d):
-    cols = ["mattr", "h_unigram_mean", "h_unigram_std", "h_trigram", "comma_rate", "exclamation_rate", "token_length_mean", "syllables_mean"]
-    docs = docs_of(spark, d)
+    cols = ["mattr", "H_unigram_win_mean_nats", "H_unigram_win_std_nats", "H_3gram_self_nats", "comma_rate", "exclamation_rate", "token_length_mean", "syllables_per_token_mean"]
     p = T.punctuation(F.col("text"))
-    m = docs.select("doc_id", p["comma_rate"].alias("comma_rate"), p["exclamation_rate"].alias("exclamation_rate")).join(sequence.sequence_metrics(docs), "doc_id").join(textstats.descriptive(docs).select("doc_id", "token_length_mean", "syllables_mean"), "doc_id").select("doc_id", *cols)
-    df = factor.impute(m, cols).cache()
-    r, n = factor.correlation_matrix(df, cols)
+    docs = docs_of(spark, d).select("doc_id", "text", *[p[c].alias(c) for c in ("comma_rate", "exclamation_rate")])
+    m = scoring.token_metrics(docs, ["doc_id", "comma_rate", "exclamation_rate"], [c for c in cols if not c.endswith("_rate")]).select("doc_id", *cols)
+    r, n = factor.correlation_matrix(factor.transform(m, factor.statistics(m, cols)), cols)
     return r, n, cols
 
 
@@ -106,7 +104,7 @@ def q_shannon(s, d):
 
 
 def q_descriptive(s, d):
-    return textstats.descriptive(docs_of(s, d)).drop("chars", "syllable_count", "hard", "long_words", "syllables_mean", "syllables_median", "syllables_std")
+    return textstats.descriptive(docs_of(s, d)).drop("chars", "syllable_count", "hard", "long_words", "doc_length", "mean_word_length", "syllables_per_token_mean", "syllables_per_token_median", "syllables_per_token_std")
 
 
 def q_text_table(s, d):
@@ -125,18 +123,19 @@ def q_resume(s, d):
 
 def q_merge(s, d):
     docs = docs_of(s, d).select("doc_id", "source", "text")
-    a = docs.where("doc_id % 2 = 0").select("doc_id", "source", F.length("text").alias("n_chars"))
-    b = docs.where("doc_id % 3 = 0").select("doc_id", "source", F.size(T.words(F.col("text"))).alias("n_words"))
+    a = docs.select("doc_id", "source", F.length("text").alias("n_chars"))
+    b = docs.select("doc_id", "source", F.size(T.words(F.col("text"))).alias("n_words"))
     return corpus.merge_families(docs.select("doc_id", "source"), a, b, keys=("doc_id", "source"))
 
 
 def q_labels(s, d):
-    m = sequences_hashed(s, d).select("doc_id", "mattr")
+    m = sequences_hashed(s, d, "mattr")
     return s.read.parquet(f"{d}/labels.parquet").join(m, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.avg("mattr").alias("mattr_mean"))
 
 
 def q_impute_scale(s, d):
-    return factor.scale(factor.impute(metrics(s, d), METRICS), METRICS).drop("source")
+    m = metrics(s, d)
+    return factor.transform(m, factor.statistics(m, METRICS)).drop("source")
 
 
 def q_factor_scores(s, d):
@@ -167,6 +166,19 @@ def q_fit(s, d):
     return s.createDataFrame([(c, float(f["pattern"][i, 0]), float(f["pattern"][i, 1])) for i, c in enumerate(cols)], "feature string, F1 double, F2 double")
 
 
+def q_metrics_full(s, d):
+    """The metrics table of all documents, with a lexicon of each kind and a parse; the split is one that SQL can repeat."""
+    docs = docs_of(s, d)
+    lexica = {
+        "concreteness": small_table(s, NORM, ["token", "score"]), "vad": small_table(s, VAD, ["token", "valence", "arousal", "dominance"]),
+        "emotion": small_table(s, EMO, ["term", "emotion", "score"]), "vocabulary": s.createDataFrame([(v,) for v in VOCABULARY], "token string"),
+    }
+    m = scoring.score_documents(docs, ("doc_id",), lexica, parse_table(docs), affect="modern", split="hashed")
+    m = m.drop(*[f"pos_prop_{t}" for t in scoring.TAGS if t not in POS])
+    nudged = {*scoring.readability_of(), *(c for c in m.columns if c.startswith(("dependency_distance", "prop_adjacent")))}
+    return rounded(m.select(*[(F.col(c) + F.lit(NUDGE)).alias(c) if c in nudged else F.col(c) for c in m.columns]))
+
+
 def by_docs(f, nudge: float = 0.0):
     return lambda s, d: rounded(f(s, d, docs_of(s, d)), nudge=nudge)
 
@@ -177,14 +189,15 @@ def plain(f):
 
 QUERIES = {
     "flagship_scores": flagship,
+    "metrics_full": q_metrics_full,
     "tokenize_counts": q_tokenize_counts,
     "whitespace_words": q_whitespace_words,
     "chunk_by_words": q_chunk_by_words,
     "text_truncate": lambda s, d: docs_of(s, d).select("doc_id", F.md5(T.truncate(F.col("text"), 200).cast("binary")).alias("head_md5"), F.length(T.truncate(F.col("text"), 200)).alias("n")),
-    "mattr": plain(lambda s, d: sequences_hashed(s, d).select("doc_id", "mattr")),
-    "unigram_entropy": plain(lambda s, d: sequences_hashed(s, d).select("doc_id", "h_unigram_mean", "h_unigram_std", "h_unigram_exp")),
-    "trigram_entropy_hashsplit": plain(lambda s, d: sequences_hashed(s, d).select("doc_id", "h_trigram", "h_trigram_exp")),
-    "trigram_entropy_seeded": plain(lambda s, d: sequence.sequence_metrics(docs_of(s, d)).select("doc_id", "h_trigram", "h_trigram_exp")),
+    "mattr": plain(lambda s, d: sequences_hashed(s, d, "mattr")),
+    "unigram_entropy": plain(lambda s, d: sequences_hashed(s, d, "H_unigram_win_mean_nats", "H_unigram_win_std_nats", "PPL_unigram_win_mean")),
+    "trigram_entropy_hashsplit": plain(lambda s, d: sequences_hashed(s, d, "H_3gram_self_nats", "PPL_3gram_self_nats")),
+    "trigram_entropy_seeded": plain(lambda s, d: sequence.sequence_metrics(docs_of(s, d), wanted=("H_3gram_self_nats", "PPL_3gram_self_nats"))),
     "shannon_entropy_by_source": plain(q_shannon),
     "punctuation_rates": by_docs(lambda s, d, x: x.select("doc_id", *[c.alias(n) for n, c in T.punctuation(F.col("text")).items()])),
     "all_caps_rate": by_docs(lambda s, d, x: x.select("doc_id", (T.all_caps_words(F.col("text")) / F.size(T.tokens(F.col("text")))).alias("all_caps_word_rate"))),
@@ -195,11 +208,11 @@ QUERIES = {
     "oov_ratio": by_docs(lambda s, d, x: lexicon.out_of_vocabulary(x, s.createDataFrame([(v,) for v in VOCABULARY], "token string"))),
     "descriptive_stats": plain(q_descriptive),
     "sentence_lengths": by_docs(lambda s, d, x: textstats.sentence_lengths(x)),
-    "syllables": by_docs(lambda s, d, x: textstats.descriptive(x).select("doc_id", "syllables_mean", "syllables_median", "syllables_std")),
+    "syllables": by_docs(lambda s, d, x: textstats.descriptive(x).select("doc_id", "syllables_per_token_mean", "syllables_per_token_median", "syllables_per_token_std")),
     "readability": by_docs(lambda s, d, x: textstats.readability(x), NUDGE),
     "duplicate_lines": by_docs(lambda s, d, x: textstats.duplicate_lines(x)),
     "duplicate_paragraphs": by_docs(lambda s, d, x: textstats.duplicate_lines(x, "\n\n", "duplicate_paragraph_chr_fraction")),
-    "top_ngrams": by_docs(lambda s, d, x: textstats.top_ngram(x)),
+    "top_ngrams": by_docs(lambda s, d, x: textstats.top_ngrams(x)),
     "dup_ngrams": by_docs(lambda s, d, x: textstats.duplicate_ngrams(x)),
     "syntax_complexity": by_docs(lambda s, d, x: syntax.complexity(parse_table(x))),
     "tree_depth": by_docs(lambda s, d, x: syntax.tree_depth(parse_table(x))),
@@ -211,7 +224,7 @@ QUERIES = {
     "topic_structure": plain(lambda s, d: semantic.topic_structure(vectors_of(s, d))),
     "text_table_human_ai": q_text_table,
     "extract_passage": by_docs(lambda s, d, x: x.select("doc_id", F.md5(T.after_marker(F.concat(F.lit("Go on. PASSAGE:\n  "), F.col("text"), F.lit("  "))).cast("binary")).alias("passage_md5"))),
-    "build_prompt": by_docs(lambda s, d, x: x.select("doc_id", F.md5(corpus.prompt(F.substring("text", 1, 300), F.lit(550)).cast("binary")).alias("prompt_md5"))),
+    "build_prompt": by_docs(lambda s, d, x: x.select("doc_id", F.md5(corpus.prompt(F.col("text"), F.lit(550)).cast("binary")).alias("prompt_md5"))),
     "segment_plan": by_docs(lambda s, d, x: corpus.segments(x, 3, 150).select("id", "doc_id", "chunk_idx", F.size("words").alias("n_words"))),
     "excerpts": by_docs(lambda s, d, x: corpus.excerpts(x, 3, 50, 100)),
     "resume_anti_join": q_resume,
@@ -249,7 +262,7 @@ _UNI = """uw AS (SELECT doc_id, token, n, least(100, n) AS win, greatest(1, leas
 ux AS (SELECT doc_id, token, win, unnest(range(CAST(greatest(0, ceil((p - win + 1) / CAST(step AS DOUBLE))) AS BIGINT), least(p // step, (n - win) // step) + 1)) AS k FROM uw),
 uc AS (SELECT doc_id, k, token, win, count(*) AS c FROM ux GROUP BY ALL),
 ue AS (SELECT doc_id, k, -sum(CAST(c AS DOUBLE) / win * ln(CAST(c AS DOUBLE) / win)) AS h FROM uc GROUP BY doc_id, k),
-uni AS (SELECT doc_id, avg(h) AS h_unigram_mean, stddev_pop(h) AS h_unigram_std, exp(avg(h)) AS h_unigram_exp FROM ue GROUP BY doc_id)"""
+uni AS (SELECT doc_id, avg(h) AS H_unigram_win_mean_nats, stddev_pop(h) AS H_unigram_win_std_nats, exp(avg(h)) AS PPL_unigram_win_mean FROM ue GROUP BY doc_id)"""
 _TRI = """sp AS (SELECT doc_id, p, token, n, (CAST(p AS BIGINT) * 2654435761) % 100 < 80 AS tr FROM tok),
 gr AS (SELECT doc_id, tr, n, token AS a, lead(token, 1) OVER o AS b, lead(token, 2) OVER o AS c FROM sp WINDOW o AS (PARTITION BY doc_id, tr ORDER BY p)),
 c3 AS (SELECT doc_id, a, b, c, count(*) AS k FROM gr WHERE tr AND c IS NOT NULL GROUP BY ALL), c2 AS (SELECT doc_id, a, b, count(*) AS k FROM gr WHERE tr AND c IS NOT NULL GROUP BY ALL),
@@ -266,10 +279,12 @@ _PICK = lambda v: "CASE (k * 5 + length(token)) % " + str(len(v)) + " " + " ".jo
 _PARSE = _TOK + f""", pk AS (SELECT doc_id, p // 25 AS sent, p % 25 + 1 AS k, token FROM tok),
 parse AS (SELECT doc_id, sent, k, token, {_PICK(POS)} AS pos, {_PICK(DEP)} AS dep, CASE WHEN k = 1 THEN 1 ELSE k - 1 - (k * 7) % least(3, k - 1) END AS head FROM pk)"""
 _VEC = "vec AS (SELECT vec_id // 10 AS doc, vec_id AS idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-_MET = f"{_TOK}, {_MATTR}, {_UNI}, met AS (SELECT d.doc_id, d.source, {_PUNCT['comma_rate']} AS comma_rate, CASE WHEN length(text) >= 200 THEN {_PUNCT['exclamation_rate']} END AS exclamation_rate, mattr, h_unigram_mean FROM documents d LEFT JOIN mattr USING (doc_id) LEFT JOIN uni USING (doc_id))"
+_MET = f"{_TOK}, {_MATTR}, {_UNI}, met AS (SELECT d.doc_id, d.source, {_PUNCT['comma_rate']} AS comma_rate, {_PUNCT['exclamation_rate']} AS exclamation_rate, mattr, H_unigram_win_mean_nats FROM documents d LEFT JOIN mattr USING (doc_id) LEFT JOIN uni USING (doc_id))"
 _IMP = _MET + ", imp AS (SELECT doc_id, source, " + ", ".join(f"coalesce({c}, (SELECT median({c}) FROM met)) AS {c}" for c in METRICS) + " FROM met)"
 _SCALED = {c: f"({c} - (SELECT avg({c}) FROM imp)) / (SELECT CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END FROM imp)" for c in METRICS}
-_GRAM = lambda n: f"g AS (SELECT doc_id, p, token, CASE WHEN lead(token, {n - 1}) OVER o IS NOT NULL THEN concat_ws(' ', token, {', '.join(f'lead(token, {k}) OVER o' for k in range(1, n))}) END AS gram FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY p))"
+_GRAM = lambda n: f"g{n} AS (SELECT doc_id, p, token, CASE WHEN lead(token, {n - 1}) OVER o IS NOT NULL THEN concat_ws(' ', token, {', '.join(f'lead(token, {k}) OVER o' for k in range(1, n))}) END AS gram FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY p))"
+_TOP = lambda n: f"{_GRAM(n)}, c{n} AS (SELECT doc_id, gram, count(*) AS n FROM g{n} WHERE gram IS NOT NULL GROUP BY ALL), b{n} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM c{n}), t{n} AS (SELECT doc_id, CAST(n * length(gram) AS DOUBLE) / length(text) AS top_ngram_chr_fraction_{n} FROM b{n} JOIN documents USING (doc_id) WHERE r = 1)"
+_DUP = lambda n: f"{_GRAM(n)}, c{n} AS (SELECT *, count(gram) OVER (PARTITION BY doc_id, gram) AS c FROM g{n}), i{n} AS (SELECT *, max(CASE WHEN gram IS NOT NULL AND c > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS hit FROM c{n}), h{n} AS (SELECT doc_id, CAST(sum(length(token) * hit) AS DOUBLE) / sum(length(token)) AS duplicate_ngram_chr_fraction_{n} FROM i{n} GROUP BY doc_id)"
 _LEX = lambda names, rows: f", lx AS {_values(rows, names)}, j AS (SELECT tok.doc_id, lx.* FROM tok LEFT JOIN lx USING (token))"
 _EMO = {e: f"sum(coalesce({e}, 0)) / count(*)" for e in lexicon.EMOTIONS}
 _CM = lambda sep, name: f"WITH l AS (SELECT doc_id, unnest(string_split(text, '{sep}')) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS c FROM l WHERE length(line) > 0 GROUP BY ALL), a AS (SELECT doc_id, sum((c - 1) * length(line)) AS again FROM c GROUP BY doc_id) SELECT d.doc_id, round(CASE WHEN length(text) > 0 THEN CAST(coalesce(again, 0) AS DOUBLE) / length(text) END, 6) AS {name} FROM documents d LEFT JOIN a USING (doc_id)"
@@ -283,8 +298,8 @@ ORACLES = {
     "chunk_by_words": f"WITH {_WORDS}, c AS (SELECT doc_id, w, unnest(range(0, len(w), 97)) AS s FROM ws) SELECT doc_id, s // 97 AS chunk_idx, len(w[s + 1 : s + 100]) AS n_words, md5(array_to_string(w[s + 1 : s + 100], ' ')) AS chunk_md5 FROM c",
     "text_truncate": "SELECT doc_id, md5(substring(text, 1, 200)) AS head_md5, length(substring(text, 1, 200)) AS n FROM documents",
     "mattr": f"WITH {_TOK}, {_MATTR} SELECT doc_id, {_r(mattr='mattr')} FROM documents LEFT JOIN mattr USING (doc_id)",
-    "unigram_entropy": f"WITH {_TOK}, {_UNI} SELECT doc_id, {_r(h_unigram_mean='h_unigram_mean', h_unigram_std='h_unigram_std', h_unigram_exp='h_unigram_exp')} FROM documents LEFT JOIN uni USING (doc_id)",
-    "trigram_entropy_hashsplit": f"WITH {_TOK}, {_TRI} SELECT doc_id, {_r(h_trigram='h', h_trigram_exp='exp(h)')} FROM documents LEFT JOIN tri USING (doc_id)",
+    "unigram_entropy": f"WITH {_TOK}, {_UNI} SELECT doc_id, {_r(H_unigram_win_mean_nats='H_unigram_win_mean_nats', H_unigram_win_std_nats='H_unigram_win_std_nats', PPL_unigram_win_mean='PPL_unigram_win_mean')} FROM documents LEFT JOIN uni USING (doc_id)",
+    "trigram_entropy_hashsplit": f"WITH {_TOK}, {_TRI} SELECT doc_id, {_r(H_3gram_self_nats='h', PPL_3gram_self_nats='exp(h)')} FROM documents LEFT JOIN tri USING (doc_id)",
     "shannon_entropy_by_source": "WITH c AS (SELECT source, lang, count(*) AS c FROM documents GROUP BY ALL), p AS (SELECT source, c / (sum(c) OVER (PARTITION BY source) + CAST(1e-12 AS DOUBLE)) AS p FROM c) SELECT source, round(-sum(p * ln(p + CAST(1e-12 AS DOUBLE))), 6) AS entropy FROM p GROUP BY source",
     "punctuation_rates": f"SELECT doc_id, {_r(**_PUNCT)} FROM documents",
     "all_caps_rate": f"WITH {_ARR}, {_WORDS} SELECT doc_id, round(CAST(len(list_filter(w, lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS DOUBLE) / len(t), 6) AS all_caps_word_rate FROM arr JOIN ws USING (doc_id)",
@@ -295,27 +310,27 @@ ORACLES = {
     "oov_ratio": f"WITH {_TOK} SELECT doc_id, round(avg(CASE WHEN token IN ({', '.join(repr(v) for v in VOCABULARY)}) THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END), 6) AS oov_ratio FROM tok GROUP BY doc_id",
     "descriptive_stats": f"WITH {_DESC} SELECT doc_id, nt AS n_tokens, nu AS n_unique_tokens, n_characters, ns AS n_sentences, {_r(token_length_mean='lm', token_length_median='lmed', token_length_std='ls', alpha_ratio='ar', proportion_unique_tokens='CAST(nu AS DOUBLE) / nullif(nt, 0)')} FROM de",
     "sentence_lengths": f"WITH {_SENT}, x AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}_]+|[^\\s\\p{{L}}\\p{{N}}_]'), lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}_]'))) AS l FROM sn) SELECT doc_id, {_r(sentence_length_mean='avg(l)', sentence_length_median='median(l)', sentence_length_std='stddev_pop(l)')} FROM x GROUP BY doc_id",
-    "syllables": f"WITH {_DESC} SELECT doc_id, {_r(syllables_mean='sm', syllables_median='smed', syllables_std='ss')} FROM de",
+    "syllables": f"WITH {_DESC} SELECT doc_id, {_r(syllables_per_token_mean='sm', syllables_per_token_median='smed', syllables_per_token_std='ss')} FROM de",
     "readability": f"WITH {_DESC} SELECT doc_id, " + _r(
         NUDGE, flesch_reading_ease=f"206.835 - 1.015 * ({_ASL}) - 84.6 * ({_ASW})", flesch_kincaid_grade=f"0.39 * ({_ASL}) + 11.8 * ({_ASW}) - 15.59", smog="1.043 * sqrt(30.0 * hard / nullif(ns, 0)) + 3.1291", gunning_fog=f"0.4 * ({_ASL} + 100.0 * hard / nullif(nt, 0))",
         automated_readability_index=f"4.71 * chars / nullif(nt, 0) + 0.5 * ({_ASL}) - 21.43", coleman_liau_index="5.88 * chars / nullif(nt, 0) - 29.6 * ns / nullif(nt, 0) - 15.8", lix=f"{_ASL} + 100.0 * longw / nullif(nt, 0)", rix="CAST(longw AS DOUBLE) / nullif(ns, 0)") + " FROM de",
     "duplicate_lines": _CM("\n", "duplicate_line_chr_fraction"),
     "duplicate_paragraphs": _CM("\n\n", "duplicate_paragraph_chr_fraction"),
-    "top_ngrams": f"WITH {_TOK}, {_GRAM(2)}, c AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE gram IS NOT NULL GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) AS r FROM c) SELECT doc_id, gram, n, round(CAST(n * length(gram) AS DOUBLE) / length(text), 6) AS top_ngram_chr_fraction_2 FROM b JOIN documents USING (doc_id) WHERE r = 1",
-    "dup_ngrams": f"WITH {_TOK}, {_GRAM(5)}, c AS (SELECT *, count(gram) OVER (PARTITION BY doc_id, gram) AS c FROM g), h AS (SELECT *, max(CASE WHEN gram IS NOT NULL AND c > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS hit FROM c) SELECT doc_id, round(CAST(sum(length(token) * hit) AS DOUBLE) / sum(length(token)), 6) AS duplicate_ngram_chr_fraction_5 FROM h GROUP BY doc_id",
+    "top_ngrams": f"WITH {_TOK}, " + ", ".join(_TOP(n) for n in scoring.TOP) + " SELECT doc_id, " + ", ".join(f"round(top_ngram_chr_fraction_{n}, 6) AS top_ngram_chr_fraction_{n}" for n in scoring.TOP) + " FROM documents " + " ".join(f"LEFT JOIN t{n} USING (doc_id)" for n in scoring.TOP),
+    "dup_ngrams": f"WITH {_TOK}, " + ", ".join(_DUP(n) for n in scoring.DUPLICATE) + " SELECT doc_id, " + ", ".join(f"round(duplicate_ngram_chr_fraction_{n}, 6) AS duplicate_ngram_chr_fraction_{n}" for n in scoring.DUPLICATE) + " FROM documents " + " ".join(f"LEFT JOIN h{n} USING (doc_id)" for n in scoring.DUPLICATE),
     "syntax_complexity": f"WITH {_PARSE}, s AS (SELECT doc_id, sent, sum(CASE WHEN dep IN ({', '.join(repr(x) for x in syntax.SUBORDINATE)}) THEN 1 ELSE 0 END) AS sub, sum(CASE WHEN dep IN ('conj', 'cc') THEN 1 ELSE 0 END) AS co, sum(CASE WHEN pos IN ('VERB', 'AUX') THEN 1 ELSE 0 END) AS cl, sum(CASE WHEN head <> k THEN 1 ELSE 0 END) AS ch, count(DISTINCT CASE WHEN head <> k THEN head END) AS hd FROM parse GROUP BY ALL) SELECT doc_id, {_r(subordination_ratio='avg(sub)', coordination_ratio='avg(co)', clauses_per_sentence='avg(cl)', mean_dependents_per_head='CAST(sum(ch) AS DOUBLE) / nullif(sum(hd), 0)', prop_complex_sentences='avg(CASE WHEN sub > 0 THEN 1.0 ELSE 0.0 END)')} FROM s GROUP BY doc_id",
     "tree_depth": f"WITH RECURSIVE {_PARSE}, r(doc_id, sent, k, depth) AS (SELECT doc_id, sent, k, 1 FROM parse WHERE head = k UNION ALL SELECT parse.doc_id, parse.sent, parse.k, r.depth + 1 FROM r JOIN parse ON parse.doc_id = r.doc_id AND parse.sent = r.sent AND parse.head = r.k AND parse.k <> r.k), m AS (SELECT doc_id, sent, max(depth) AS d FROM r GROUP BY ALL) SELECT doc_id, {_r(parse_tree_depth_mean='avg(d)', parse_tree_depth_std='stddev_pop(d)')} FROM m GROUP BY doc_id",
-    "dependency_distance": f"WITH {_PARSE}, s AS (SELECT doc_id, sent, avg(abs(k - head)) AS d, avg(CASE WHEN abs(k - head) = 1 THEN 1.0 ELSE 0.0 END) AS a FROM parse GROUP BY ALL) SELECT doc_id, {_r(NUDGE, dependency_distance_mean='avg(d)', dependency_distance_std='stddev_pop(d)', prop_adjacent_mean='avg(a)', prop_adjacent_std='stddev_pop(a)')} FROM s GROUP BY doc_id",
-    "pos_proportions": f"WITH {_PARSE} SELECT doc_id, " + _r(**{f"pos_prop_{t.lower()}": f"avg(CASE WHEN pos = '{t}' THEN 1.0 ELSE 0.0 END)" for t in POS}) + " FROM parse GROUP BY doc_id",
-    "trajectory": f"WITH {_VEC}, l AS (SELECT doc, idx, v, list_dot_product(v, lag(v, 1) OVER o) AS c1, list_dot_product(v, lag(v, 2) OVER o) AS c2 FROM vec WINDOW o AS (PARTITION BY doc ORDER BY idx)) SELECT doc, {_r(first_order_coherence='avg(c1)', second_order_coherence='avg(c2)', trajectory_length='sum(1 - c1)', segment_transition_variability='stddev_pop(1 - c1)', semantic_drift_start_end='CASE WHEN count(*) > 1 THEN 1 - list_dot_product(arg_min(v, idx), arg_max(v, idx)) END')} FROM l GROUP BY doc",
+    "dependency_distance": f"WITH {_PARSE}, s AS (SELECT doc_id, sent, avg(abs(k - head)) AS d, avg(CASE WHEN abs(k - head) = 1 THEN 1.0 ELSE 0.0 END) AS a FROM parse GROUP BY ALL) SELECT doc_id, {_r(NUDGE, dependency_distance_mean='avg(d)', dependency_distance_std='stddev_pop(d)', prop_adjacent_dependency_relation_mean='avg(a)', prop_adjacent_dependency_relation_std='stddev_pop(a)')} FROM s GROUP BY doc_id",
+    "pos_proportions": f"WITH {_PARSE} SELECT doc_id, " + _r(**{f"pos_prop_{t}": f"avg(CASE WHEN pos = '{t}' THEN 1.0 ELSE 0.0 END)" for t in POS}) + " FROM parse GROUP BY doc_id",
+    "trajectory": f"WITH {_VEC}, l AS (SELECT doc, idx, v, list_dot_product(v, lag(v, 1) OVER o) AS c1, list_dot_product(v, lag(v, 2) OVER o) AS c2 FROM vec WINDOW o AS (PARTITION BY doc ORDER BY idx)) SELECT doc, {_r(first_order_coherence='avg(c1)', second_order_coherence='avg(c2)', cumulative_semantic_trajectory_length='sum(1 - c1)', segment_transition_variability='stddev_pop(1 - c1)', semantic_drift_start_end='CASE WHEN count(*) > 1 THEN 1 - list_dot_product(arg_min(v, idx), arg_max(v, idx)) END')} FROM l GROUP BY doc",
     "range_max_dist": f"WITH {_VEC} SELECT a.doc, round(1 - min(list_dot_product(a.v, b.v)), 6) AS semantic_range_max_dist FROM vec a JOIN vec b ON a.doc = b.doc GROUP BY a.doc",
     "dispersion": f"WITH {_VEC}, d AS (SELECT doc, unnest(range(len(v))) AS i, unnest(v) AS x FROM vec), m AS (SELECT doc, i, avg(x) AS m FROM d GROUP BY ALL), c AS (SELECT doc, list(m ORDER BY i) AS c FROM m GROUP BY doc) SELECT doc, round(avg(1 - list_dot_product(v, c) / (sqrt(list_dot_product(c, c)) + CAST(1e-12 AS DOUBLE))), 6) AS semantic_dispersion FROM vec JOIN c USING (doc) GROUP BY doc",
     "text_table_human_ai": "WITH h AS (SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations WHERE role = 'user') WHERE r = 1), a AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id) SELECT CAST(conv_id AS VARCHAR) AS id, 'human' AS source, md5(text) AS text_md5 FROM h UNION ALL SELECT CAST(conv_id AS VARCHAR), 'ai', md5(a.text) FROM h JOIN a USING (conv_id)",
     "extract_passage": r"SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS passage_md5 FROM documents",
-    "build_prompt": f"SELECT doc_id, md5(concat('{_HEAD}', '550', '{_TAIL}', substring(text, 1, 300))) AS prompt_md5 FROM documents",
+    "build_prompt": f"SELECT doc_id, md5(concat('{_HEAD}', '550', '{_TAIL}', text)) AS prompt_md5 FROM documents",
     "segment_plan": f"WITH {_WORDS}, s AS (SELECT doc_id, len(w) AS n, unnest(range(3)) AS i FROM ws WHERE len(w) >= 150) SELECT concat(CAST(doc_id AS VARCHAR), '__chunk', lpad(CAST(i AS VARCHAR), 2, '0')) AS id, doc_id, i AS chunk_idx, CASE WHEN i = 2 THEN n - 2 * (n // 3) ELSE n // 3 END AS n_words FROM s",
     "resume_anti_join": "SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'new' END AS state, count(*) AS n FROM documents GROUP BY ALL",
-    "merge_families": r"SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN length(text) END AS n_chars, CASE WHEN doc_id % 3 = 0 THEN len(regexp_extract_all(text, '\S+')) END AS n_words FROM documents",
+    "merge_families": r"SELECT doc_id, source, length(text) AS n_chars, len(regexp_extract_all(text, '\S+')) AS n_words FROM documents",
     "label_comparison": f"WITH {_TOK}, {_MATTR} SELECT quality, toxic, count(*) AS n, round(avg(mattr), 6) AS mattr_mean FROM labels LEFT JOIN mattr USING (doc_id) GROUP BY ALL",
     "missing_rates": f"WITH {_MET} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing_rate FROM met" for c in METRICS),
     "impute_scale": f"WITH {_IMP} SELECT doc_id, {_r(**_SCALED)} FROM imp",
@@ -323,3 +338,10 @@ ORACLES = {
     "factor_scores_apply": f"WITH {_IMP} SELECT doc_id, " + _r(**{f"F{j + 1}": " + ".join(f"({m[0]} - CAST({m[1]} AS DOUBLE)) / CAST({m[2]} AS DOUBLE) * CAST({m[3 + j]} AS DOUBLE)" for m in MODEL) for j in range(2)}) + " FROM imp",
     "top_loadings": f"SELECT * FROM (SELECT feature, factor, round(loading, 6) AS loading, row_number() OVER (PARTITION BY factor ORDER BY abs(loading) DESC, feature) AS rank FROM {_values([(m[0], f'F{j + 1}', m[3 + j]) for m in MODEL for j in range(2)], 'feature, factor, loading')}) WHERE rank <= 3",
 }
+
+# the metrics table is the join of what each family's SQL gives; its own columns are taken without rounding twice
+_FAMILIES = "descriptive_stats syllables sentence_lengths readability punctuation_rates duplicate_lines duplicate_paragraphs top_ngrams dup_ngrams mattr unigram_entropy trigram_entropy_hashsplit oov_ratio lexicon_emotion syntax_complexity tree_depth dependency_distance pos_proportions".split()
+ORACLES["metrics_full"] = (
+    "SELECT * EXCLUDE (vad_coverage, norm_coverage) RENAME (norm_mean AS concreteness_mean, norm_std AS concreteness_std) FROM " + " JOIN ".join(f"({ORACLES[q]}) AS q{i}" + " USING (doc_id)" * (i > 0) for i, q in enumerate([*_FAMILIES, "lexicon_vad", "lexicon_norm"]))
+    + f" JOIN (WITH {_TOK} SELECT doc_id, count(*) AS doc_length, round(avg(length(token)), 6) AS mean_word_length FROM tok GROUP BY doc_id) AS more USING (doc_id)"
+)

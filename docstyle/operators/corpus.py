@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import random
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,64 +36,82 @@ def merge_families(base: DataFrame, *families: DataFrame, keys=("id", "source"))
     return base
 
 
-def segments(docs: DataFrame, n_chunks: int = 3, least: int = 500) -> DataFrame:
-    """(doc_id, chunk_idx, id, words) of texts of at least `least` words: equal parts, the last with the remainder."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= least)
+def segments(docs: DataFrame, n_chunks: int = 3, least: int = 500, key: str = "doc_id", keep=()) -> DataFrame:
+    """(key, or source_id if that is id; chunk_idx, id, words, keep...) of texts of at least `least` words: equal parts, the last with the remainder."""
+    w = docs.select(key, *keep, words(F.col("text")).alias("w")).where(F.size("w") >= least)
     size = F.floor(F.size("w") / n_chunks).cast("int")
     part = lambda i: F.slice(F.col("w"), i * size + 1, F.when(i == n_chunks - 1, F.size("w") - i * size).otherwise(size))
-    s = w.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_chunks - 1)), part)).alias("chunk_idx", "words"))
-    return s.select("doc_id", "chunk_idx", F.concat(F.col("doc_id").cast("string"), F.lit("__chunk"), F.lpad(F.col("chunk_idx").cast("string"), 2, "0")).alias("id"), "words")
-
-
-def snap(w: list[str], least: int, most: int) -> list[str]:
-    """A run of words that begins after a sentence end and stops at one, of least to most words; [] if there is none."""
-    w = w[: most + 200]
-    text = " ".join(w)
-    ends = [len(text[: m.end()].split()) for m in re.finditer(SENTENCE_END, text)]
-    if not ends:
-        return w[:most] if len(w) >= least else []
-    within = [e for e in ends if e <= most]
-    stop = min(within[-1] if within else ends[0], most)
-    w = w[:stop]
-    for e in ends:
-        if e < stop and least <= stop - e <= most:
-            return w[e:]
-    return w if len(w) >= least else []
-
-
-def sample(w: list[str], least: int, most: int, rng: random.Random, extra=(50, 120), tries: int = 60) -> list[str]:
-    if len(w) < least:
-        return []
-    for _ in range(tries):
-        raw = min(len(w), most + rng.randint(*extra))
-        at = rng.randint(0, max(0, len(w) - raw - 1))
-        if got := snap(w[at : at + raw], least, most):
-            return got
-    return snap(w[: most + extra[1]], least, most)[:most]
-
-
-def excerpts(docs: DataFrame, n_chunks: int = 3, least: int = 500, most: int = 600, seed: int = 19) -> DataFrame:
-    """id, source_id, chunk_idx, target_words, excerpt_words, excerpt; draws are seeded by the excerpt's id, so they do not
-    depend on the order of rows or on partitions. Segments without an excerpt give no row."""
+    s = w.select(key, *keep, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_chunks - 1)), part)).alias("chunk_idx", "words"))
+    return s.select(F.col(key).alias("source_id" if key == "id" else key), "chunk_idx", F.concat(F.col(key).cast("string"), F.lit("__chunk"), F.lpad(F.col("chunk_idx").cast("string"), 2, "0")).alias("id"), "words", *keep)
+
+
+def bounds(ends: np.ndarray, n: int, start: np.ndarray, raw: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, stop) in words of the excerpt that each window [start, start + raw) of n words gives; 0, 0 where it gives none.
+
+    ends: after how many words a sentence ends, ascending. An excerpt stops at the last end that `most` words reach, or at
+    the window's first; it begins after the earliest end from which it is of least to most words, or at the window's
+    start. A window without an end is cut at `most` words."""
+    limit = np.minimum(start + raw, n)
+    padded = np.append(ends, np.iinfo(np.int64).max)
+    first = padded[np.searchsorted(ends, start, side="right")]
+    last = np.append(-1, ends)[np.searchsorted(ends, np.minimum(limit, start + most), side="right")]
+    stop = np.where(first > limit, np.minimum(limit, start + most), np.where(last > start, last, np.minimum(first, start + most)))
+    begin = padded[np.searchsorted(ends, np.maximum(start + 1, stop - most), side="left")]
+    begin = np.where((first <= limit) & (begin <= stop - least), begin, start)
+    fits = stop - begin >= least
+    return np.where(fits, begin, 0), np.where(fits, stop, 0)
+
+
+def sentence_ends(w: list[str]) -> np.ndarray:
+    """After how many words a sentence ends: those that hold an end."""
+    return np.array([i for i, x in enumerate(w, 1) if re.search(SENTENCE_END, x)], dtype=np.int64)
+
+
+def sample(w: list[str], least: int, most: int, rng: np.random.Generator, extra=(50, 120), tries: int = 60) -> list[str]:
+    """The excerpt of the first of some random windows that gives one, all drawn at once; failing all, that of the text's
+    beginning. A window has extra[0] to extra[1] words more than the excerpt may have."""
+    n = len(w)
+    raw = np.append(np.minimum(n, most + rng.integers(extra[0], extra[1] + 1, tries)), most + extra[1])
+    start = np.append(rng.integers(0, np.maximum(1, n - raw[:-1])), 0)
+    begin, stop = bounds(sentence_ends(w), n, start, raw, least, most)
+    at = int(np.argmax(stop > begin))
+    return w[begin[at] : stop[at]]
+
+
+def excerpts(docs: DataFrame, n_chunks: int = 3, least: int = 500, most: int = 600, seed: int = 19, key: str = "doc_id", keep=()) -> DataFrame:
+    """id, source_id, chunk_idx, target_words, excerpt_words, excerpt, keep...; draws are seeded by the excerpt's id, so they do
+    not depend on the order of rows or on partitions. Segments without an excerpt give no row."""
     import pyarrow as pa
 
+    names = ["id", "source_id", "chunk_idx", "target_words", "excerpt_words", "excerpt", *keep]
+
     def run(batches):
         for b in batches:
-            keep, target, text, n = [], [], [], []
-            for i, (key, w) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                rng = random.Random(int.from_bytes(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=8).digest(), "big"))
-                goal = rng.randint(least, most)
-                got = sample(w, least, most, rng)
-                if got:
-                    keep.append(i)
+            at, target, found = [], [], []
+            for i, (name, w) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}:{name}".encode(), digest_size=8).digest(), "big"))
+                goal = int(rng.integers(least, most + 1))
+                if got := sample(w, least, most, rng):
+                    at.append(i)
                     target.append(goal)
-                    n.append(len(got))
-                    text.append(" ".join(got))
-            at = pa.array(keep, pa.int64())
-            yield pa.record_batch([b.column(2).take(at), b.column(0).take(at), b.column(1).take(at), pa.array(target, pa.int32()), pa.array(n, pa.int32()), pa.array(text, pa.string())], names=["id", "source_id", "chunk_idx", "target_words", "excerpt_words", "excerpt"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return segments(docs, n_chunks, least).mapInArrow(run, f"id string, source_id {kind}, chunk_idx int, target_words int, excerpt_words int, excerpt string")
+                    found.append(got)
+            rows = pa.array(at, pa.int64())
+            own = [pa.array(target, pa.int32()), pa.array([len(x) for x in found], pa.int32()), pa.array([" ".join(x) for x in found], pa.string())]
+            yield pa.record_batch([*(b.column(j).take(rows) for j in (2, 0, 1)), *own, *(b.column(4 + j).take(rows) for j in range(len(keep)))], names=names)
+
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    schema = f"id string, source_id {kind(key)}, chunk_idx int, target_words int, excerpt_words int, excerpt string"
+    return segments(docs, n_chunks, least, key, keep).mapInArrow(run, schema + "".join(f", `{c}` {kind(c)}" for c in keep))
+
+
+def excerpts_and_prompts(records: DataFrame, key: str = "id", text: str = "text", n_chunks: int = 3, least: int = 500, most: int = 600, seed: int = 19) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(excerpts with the records' other columns, prompts (id, prompt), skipped (key, words)) of records with unique keys;
+    skipped are the texts of under `least` words, null ones included."""
+    docs = records.withColumn("text", F.col(text)) if text != "text" else records
+    taken = {key, text, "text", "id", "source_id", "chunk_idx", "target_words", "excerpt_words", "excerpt"}
+    found = excerpts(docs, n_chunks, least, most, seed, key, [c for c in records.columns if c not in taken])
+    count = F.greatest(F.coalesce(F.size(words(F.col(text))), F.lit(0)), F.lit(0))
+    return found, found.select("id", prompt(F.col("excerpt"), F.col("target_words")).alias("prompt")), records.select(key, count.alias("words")).where(F.col("words") < least)
 
 
 def prompt(excerpt, target_words):

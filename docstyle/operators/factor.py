@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import taxonomy
+
 
 def missing_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, missing_rate) in one aggregate."""
@@ -38,6 +41,80 @@ def scale(df: DataFrame, columns: list[str], fitted: dict[str, tuple[float, floa
     return df.select(*[c for c in df.columns if c not in columns], *[((F.col(c) - F.lit(m[c][0])) / F.lit(m[c][1])).alias(c) for c in columns])
 
 
+@dataclass(frozen=True)
+class Statistic:
+    """Of one column: its share of nulls, its median, and mean and deviation once nulls are its median."""
+
+    missing: float
+    median: float | None
+    mean: float | None
+    scale: float
+
+
+def statistics(df: DataFrame, columns: list[str]) -> dict[str, Statistic]:
+    """Every column's Statistic in one aggregate: the moments after imputation follow from those before it."""
+    facts = {"n": lambda c: F.count(c), "k": lambda c: F.sum(F.col(c).isNull().cast("long")), "med": F.median, "avg": F.avg, "var": F.var_pop}
+    row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in facts.items()]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        n, k, med, avg, var = (row[f"{x}{i}"] for x in facts)
+        if not n:
+            out[c] = Statistic(1.0 if k else 0.0, None, None, 1.0)
+            continue
+        mean = (n * avg + k * med) / (n + k)
+        spread = (n * (var + (avg - mean) ** 2) + k * (med - mean) ** 2) / (n + k)
+        # a constant column is only centred; sums of equal numbers may be off by rounding
+        out[c] = Statistic(k / (n + k), float(med), mean, math.sqrt(spread) if spread > 1e-24 * max(1.0, mean * mean) else 1.0)
+    return out
+
+
+def transform(df: DataFrame, stats: dict[str, Statistic]) -> DataFrame:
+    """Nulls become the median, then (x - mean) / deviation: one projection. An all-null column stays null."""
+    done = [((F.coalesce(F.col(c), F.lit(s.median)) - F.lit(s.mean)) / F.lit(s.scale)).cast("double").alias(c) for c, s in stats.items()]
+    return df.select(*[c for c in df.columns if c not in stats], *done)
+
+
+def prepare(df: DataFrame, keys: list[str], leave_out=taxonomy.LEFT_OUT, missing: float = 0.3) -> tuple[DataFrame, dict[str, Statistic]]:
+    """(df of the keys and the scaled features, their statistics): the taxonomy's features without those to leave out and
+    without columns of which `missing` or more are null."""
+    stats = {c: s for c, s in statistics(df, list(taxonomy.select_features(df.columns, leave_out))).items() if s.missing < missing and s.median is not None}
+    return transform(df.select(*keys, *stats), stats), stats
+
+
+def fit_factors(df: DataFrame, keys: list[str], k: int, **options) -> dict:
+    """What fit() gives, for the features that prepare() keeps, with: stats; loadings (feature, category, F1..Fk; by category,
+    then feature) and variance (factor, SS_loadings, pct_var, cumulative_pct) as tables; scores (keys, F1..Fk) of df."""
+    scaled, stats = prepare(df, keys, **options)
+    columns = list(stats)
+    model = fit(correlation_matrix(scaled, columns)[0], columns, k)
+    spark, names = df.sparkSession, [f"F{j + 1}" for j in range(k)]
+    rows = sorted((c, taxonomy.CATEGORY[c], *map(float, model["pattern"][i])) for i, c in enumerate(columns))
+    rows.sort(key=lambda x: x[1])
+    loadings = spark.createDataFrame(rows, "feature string, category string" + "".join(f", {f} double" for f in names))
+    variance = spark.createDataFrame([(f, *(float(model[x][j]) for x in ("ss_loadings", "pct_var", "cumulative_pct"))) for j, f in enumerate(names)], "factor string, SS_loadings double, pct_var double, cumulative_pct double")
+    return model | {"stats": stats, "loadings": loadings, "variance": variance, "scores": scores(scaled, columns, model["weights"], keys)}
+
+
+def apply_factors(df: DataFrame, model: dict, keys: list[str], impute: str = "new") -> DataFrame:
+    """keys and F1..Fk of new documents under a fitted model: its means, deviations and weights; nulls become the new data's
+    medians or, with impute "train", the model's. A column that is null throughout stays null under "new"."""
+    if impute not in ("new", "train"):
+        raise ValueError(f"impute is new or train, not {impute!r}")
+    stats = model["stats"]
+    if impute == "new":
+        row = df.agg(*[F.median(c).alias(c) for c in stats]).first()
+        stats = {c: replace(s, median=row[c]) for c, s in stats.items()}
+    return scores(transform(df.select(*keys, *stats), stats), model["columns"], model["weights"], keys)
+
+
+def described_loadings(model: dict, n: int = 6) -> DataFrame:
+    """factor, feature, loading, rank, category and the factor's variance columns: each factor's n largest loadings."""
+    names = model["variance"].select("factor")
+    k = names.count()
+    long = model["loadings"].select("feature", "category", F.inline(F.array(*[F.struct(F.lit(f"F{j + 1}").alias("factor"), F.col(f"F{j + 1}").alias("loading")) for j in range(k)])))
+    return top_loadings(long, n).join(F.broadcast(model["variance"]), "factor")
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of every pair in the order of columns; null where one of them is constant."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -46,11 +123,34 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, int]:
-    r = np.eye(len(columns))
-    at = {c: i for i, c in enumerate(columns)}
-    for x in correlations(df, columns).collect():
-        r[at[x.a], at[x.b]] = r[at[x.b], at[x.a]] = x.r
-    return r, df.count()
+    """(correlations, rows) from sums of products per task: one matrix of p x p for each reaches the driver by a tree of
+    sums. Columns must be about centred and scaled, as transform() leaves them, and without nulls."""
+    import pyarrow as pa
+
+    p = len(columns)
+
+    def run(batches):
+        total = np.zeros((p + 1, p + 1))
+        for b in batches:
+            x = np.column_stack([*(c.to_numpy(zero_copy_only=False) for c in b.columns), np.ones(b.num_rows)])
+            total += x.T @ x
+        yield pa.record_batch([pa.array(np.arange((p + 1) ** 2), pa.int32()), pa.array(total.ravel())], names=["at", "x"])
+
+    sums = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x"))
+    g = np.zeros((p + 1) ** 2)
+    for x in sums.collect():
+        g[x["at"]] = x["x"]
+    g = g.reshape(p + 1, p + 1)
+    n = g[p, p]
+    if not n:
+        return np.eye(p), 0
+    mean = g[:p, p] / n
+    cov = g[:p, :p] / n - np.outer(mean, mean)
+    d = np.sqrt(np.maximum(np.diag(cov), 0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = np.where(np.outer(d, d) > 0, cov / np.outer(d, d), np.nan)
+    np.fill_diagonal(r, 1.0)
+    return r, int(n)
 
 
 def chi2_tail(x: float, df: float) -> float:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+# The emotions that discrete lexica name.
 EMOTIONS = ["anger", "anticipation", "disgust", "fear", "joy", "sadness", "surprise", "trust"]
 #: A lexicon is broadcast only if it has at most this many rows; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -57,4 +58,5 @@ def emotions(docs: DataFrame, lexicon: DataFrame, names=tuple(EMOTIONS), key: st
 
 def out_of_vocabulary(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
     j = counted(docs, key).join(small(vocabulary.select("token").distinct().withColumn("known", F.lit(1))), "token", "left")
-    return j.groupBy(key).agg((F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("oov_ratio"))
+    total = F.sum("n")
+    return j.groupBy(key).agg(F.when(total > 0, F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / total).alias("oov_ratio"))

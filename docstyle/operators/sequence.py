@@ -6,12 +6,9 @@ They need a document's tokens in order, so one Arrow pass computes all of them a
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.text import tokens
-
-COLUMNS = ["mattr", "h_unigram_mean", "h_unigram_std", "h_unigram_exp", "h_trigram", "h_trigram_exp"]
+COLUMNS = ["mattr", "H_unigram_win_mean_nats", "H_unigram_win_std_nats", "PPL_unigram_win_mean", "H_3gram_self_nats", "PPL_3gram_self_nats"]
 
 
 def mattr(codes: np.ndarray, window: int = 100) -> float | None:
@@ -77,25 +74,18 @@ def trigram_entropy(codes: np.ndarray, train: np.ndarray, alpha: float = 0.1) ->
     return float(h), float(np.exp(h))
 
 
-def sequence_metrics(docs: DataFrame, keys=("doc_id",), text: str = "text", window: int = 100, split: str = "seeded", test_frac: float = 0.2, alpha: float = 0.1, seed: int = 2001) -> DataFrame:
-    """keys and COLUMNS for each row; null where a metric is undefined."""
-    names = list(keys)
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in names)
-
-    def run(batches):
-        for b in batches:
-            lists = b.column(len(names))
-            flat = lists.flatten().dictionary_encode()
-            codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.zeros(0, dtype=np.int64)
-            sizes = [0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()]
-            ends = np.cumsum(sizes)
-            rows = []
-            for hi, n in zip(ends, sizes):
-                c = np.unique(codes[hi - n : hi], return_inverse=True)[1] if n else codes[:0]
-                train = seeded_mask(n, test_frac, seed) if split == "seeded" else hashed_mask(n)
-                rows.append((mattr(c, window), *windowed_entropy(c, window), *trigram_entropy(c, train, alpha)))
-            yield pa.record_batch([*(b.column(i) for i in range(len(names))), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(len(COLUMNS)))], names=names + COLUMNS)
-
-    import pyarrow.compute  # noqa: F401
-
-    return docs.select(*names, tokens(docs[text]).alias("t")).mapInArrow(run, kinds + "".join(f", {c} double" for c in COLUMNS))
+def all_metrics(codes: np.ndarray, wanted: set[str], split: str = "seeded", window: int = 100, test_frac: float = 0.2, alpha: float = 0.1, seed: int = 2001) -> tuple:
+    """COLUMNS of one text; families of which none is wanted are left at None."""
+    first = mattr(codes, window) if COLUMNS[0] in wanted else None
+    entropy = windowed_entropy(codes, window) if wanted & set(COLUMNS[1:4]) else (None,) * 3
+    if not wanted & set(COLUMNS[4:]):
+        return first, *entropy, None, None
+    train = seeded_mask(len(codes), test_frac, seed) if split == "seeded" else hashed_mask(len(codes))
+    return first, *entropy, *trigram_entropy(codes, train, alpha)
+
+
+def sequence_metrics(docs: DataFrame, keys=("doc_id",), wanted=tuple(COLUMNS), **options) -> DataFrame:
+    """keys and the wanted ones of COLUMNS for each row; null where a metric is undefined."""
+    from .scoring import token_metrics
+
+    return token_metrics(docs, list(keys), list(wanted), **options)

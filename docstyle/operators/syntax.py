@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Relations of universal dependencies.
 SUBORDINATE = ["advcl", "ccomp", "xcomp", "acl", "relcl", "csubj", "csubjpass", "acl:relcl"]
 COORDINATE = ["conj", "cc"]
 
@@ -19,25 +20,36 @@ def complexity(parse: DataFrame) -> DataFrame:
 def tree_depth(parse: DataFrame) -> DataFrame:
     """Mean and population deviation over sentences of the tree's depth, the root alone being 1.
 
-    A sentence is a bounded group; its heads form an array that is climbed by an Arrow kernel."""
+    A sentence is a bounded group; the heads of all sentences of a batch are climbed at once. A head that its sentence lacks
+    counts as the root."""
     import numpy as np
     import pyarrow as pa
 
-    rows = parse.groupBy("doc_id", "sent").agg(F.sort_array(F.collect_list(F.struct("k", "head"))).alias("t"))
+    rows = parse.groupBy("doc_id", "sent").agg(F.collect_list(F.struct("k", "head")).alias("t"))
 
     def run(batches):
         for b in batches:
-            depth = []
-            for t in b.column(2).to_pylist():
-                at = {x["k"]: i for i, x in enumerate(t)}
-                up = np.array([at[x["head"]] for x in t])
-                level, here, move = np.ones(len(t), dtype=int), np.arange(len(t)), up != np.arange(len(t))
-                while move.any():
-                    level += move
-                    here = up[here]
-                    move = up[here] != here
-                depth.append(int(level.max()))
-            yield pa.record_batch([b.column(0), pa.array(depth, pa.int32())], names=["doc_id", "depth"])
+            lists = b.column(2)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            k, head = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            owner = np.repeat(np.arange(len(size)), size)
+            base = int(max(k.max(initial=0), head.max(initial=0))) + 1
+            order = np.argsort(owner * base + k, kind="stable")
+            key = (owner * base + k)[order]
+            at = np.minimum(np.searchsorted(key, owner * base + head), max(0, len(key) - 1))
+            up = np.where(key[at] == owner * base + head, order[at], np.arange(len(k))) if len(k) else at
+            depth, here = np.ones(len(k), dtype=np.int64), np.arange(len(k))
+            # a tree's depth is its sentence's length at most; more steps would mean a cycle
+            for _ in range(int(size.max(initial=0))):
+                move = up[here] != here
+                if not move.any():
+                    break
+                depth += move
+                here = up[here]
+            deepest = np.zeros(len(size), dtype=np.int64)
+            np.maximum.at(deepest, owner, depth)
+            yield pa.record_batch([b.column(0), pa.array(deepest, pa.int32())], names=["doc_id", "depth"])
 
     kind = parse.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, depth int").groupBy("doc_id").agg(F.avg("depth").alias("parse_tree_depth_mean"), F.stddev_pop("depth").alias("parse_tree_depth_std"))
@@ -47,8 +59,8 @@ def dependency_distance(parse: DataFrame) -> DataFrame:
     """Mean and population deviation over sentences of the mean distance to the head and of the share at distance 1."""
     d = F.abs(F.col("k") - F.col("head"))
     s = parse.groupBy("doc_id", "sent").agg(F.avg(d).alias("d"), F.avg((d == 1).cast("int")).alias("a"))
-    return s.groupBy("doc_id").agg(F.avg("d").alias("dependency_distance_mean"), F.stddev_pop("d").alias("dependency_distance_std"), F.avg("a").alias("prop_adjacent_mean"), F.stddev_pop("a").alias("prop_adjacent_std"))
+    return s.groupBy("doc_id").agg(F.avg("d").alias("dependency_distance_mean"), F.stddev_pop("d").alias("dependency_distance_std"), F.avg("a").alias("prop_adjacent_dependency_relation_mean"), F.stddev_pop("a").alias("prop_adjacent_dependency_relation_std"))
 
 
 def pos_proportions(parse: DataFrame, tags: list[str]) -> DataFrame:
-    return parse.groupBy("doc_id").agg(*[F.avg((F.col("pos") == t).cast("int")).alias(f"pos_prop_{t.lower()}") for t in tags])
+    return parse.groupBy("doc_id").agg(*[F.avg((F.col("pos") == t).cast("int")).alias(f"pos_prop_{t}") for t in tags])

@@ -1,76 +1,43 @@
-"""Descriptive, readability and repetition statistics, as native expressions."""
+"""Descriptive, readability and repetition statistics of a table of (doc_id, text)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, syllables, tokens
-
-LETTER = r"[\p{L}\p{N}_]"
-
-
-def word_tokens(docs: DataFrame) -> DataFrame:
-    """Tokens that begin with a letter, a digit or an underscore."""
-    return docs.select("*", F.filter(tokens(F.col("text")), lambda t: t.rlike(r"^[\p{L}\p{N}_]")).alias("w"))
+from . import scoring
 
 
 def descriptive(docs: DataFrame) -> DataFrame:
-    """Counts, distinct share, and mean, median and population deviation of token lengths and syllables."""
-    d = word_tokens(docs).select("doc_id", "text", "w", F.size(sentences(F.col("text"))).alias("n_sentences"))
-    e = d.select("doc_id", F.explode("w").alias("t")).select("doc_id", F.length("t").alias("l"), syllables(F.col("t")).alias("s"), F.when(F.col("t").rlike(r"\p{L}"), 1.0).otherwise(0.0).alias("a"))
-    m = e.groupBy("doc_id").agg(
-        F.avg("l").alias("token_length_mean"), F.median("l").alias("token_length_median"), F.stddev_pop("l").alias("token_length_std"), F.avg("s").alias("syllables_mean"), F.median("s").alias("syllables_median"), F.stddev_pop("s").alias("syllables_std"),
-        F.sum("l").alias("chars"), F.sum("s").alias("syllable_count"), F.sum((F.col("s") >= 3).cast("long")).alias("hard"), F.sum((F.col("l") > 6).cast("long")).alias("long_words"), F.avg("a").alias("alpha_ratio"),
-    )
-    base = d.select("doc_id", F.size("w").alias("n_tokens"), F.size(F.array_distinct("w")).alias("n_unique_tokens"), F.length("text").alias("n_characters"), "n_sentences")
-    return base.join(m, "doc_id", "left").withColumn("proportion_unique_tokens", F.col("n_unique_tokens") / F.col("n_tokens"))
+    """Counts, distinct share, and mean, median and population deviation of token lengths and syllables; null of no words."""
+    rows = docs.select("doc_id", "text", F.length("text").alias("n_characters"))
+    m = scoring.token_metrics(rows, ["doc_id", "n_characters"], [*scoring.LENGTHS, "n_sentences"])
+    return m.withColumn("proportion_unique_tokens", F.col("n_unique_tokens") / F.when(F.col("n_tokens") > 0, F.col("n_tokens")))
 
 
 def readability(docs: DataFrame) -> DataFrame:
     """The classic formulas; null where a text has no word or no sentence."""
-    d = descriptive(docs)
-    w, s = F.when(F.col("n_tokens") > 0, F.col("n_tokens")), F.when(F.col("n_sentences") > 0, F.col("n_sentences"))
-    asl, asw = w / s, F.col("syllable_count") / w
-    return d.select(
-        "doc_id", (F.lit(206.835) - F.lit(1.015) * asl - F.lit(84.6) * asw).alias("flesch_reading_ease"), (F.lit(0.39) * asl + F.lit(11.8) * asw - F.lit(15.59)).alias("flesch_kincaid_grade"),
-        (F.lit(1.043) * F.sqrt(F.lit(30.0) * F.col("hard") / s) + F.lit(3.1291)).alias("smog"), (F.lit(0.4) * (asl + F.lit(100.0) * F.col("hard") / w)).alias("gunning_fog"),
-        (F.lit(4.71) * F.col("chars") / w + F.lit(0.5) * asl - F.lit(21.43)).alias("automated_readability_index"), (F.lit(5.88) * F.col("chars") / w - F.lit(29.6) * s / w - F.lit(15.8)).alias("coleman_liau_index"),
-        (asl + F.lit(100.0) * F.col("long_words") / w).alias("lix"), (F.col("long_words") / s).alias("rix"),
-    )
+    m = scoring.token_metrics(docs, ["doc_id"], ["n_tokens", "chars", "syllable_count", "hard", "long_words", "n_sentences"])
+    return m.select("doc_id", *[c.alias(n) for n, c in scoring.readability_of().items()])
 
 
 def sentence_lengths(docs: DataFrame) -> DataFrame:
     """Mean, median and population deviation of words per sentence."""
-    e = docs.select("doc_id", F.explode(sentences(F.col("text"))).alias("s")).select("doc_id", F.size(F.filter(tokens(F.col("s")), lambda t: t.rlike(r"^[\p{L}\p{N}_]"))).alias("l"))
-    return e.groupBy("doc_id").agg(F.avg("l").alias("sentence_length_mean"), F.median("l").alias("sentence_length_median"), F.stddev_pop("l").alias("sentence_length_std"))
+    return scoring.token_metrics(docs, ["doc_id"], scoring.SENTENCES[1:])
 
 
 def duplicate_lines(docs: DataFrame, separator: str = "\n", name: str = "duplicate_line_chr_fraction") -> DataFrame:
     """Share of a text's characters in lines (or paragraphs) that it has had before."""
-    e = docs.select("doc_id", F.length("text").alias("n"), F.explode(F.split("text", separator)).alias("line")).where(F.length("line") > 0)
-    per = e.groupBy("doc_id", "n", "line").agg(F.count("*").alias("c"))
-    return docs.select("doc_id", F.length("text").alias("n")).join(per.groupBy("doc_id").agg(F.sum((F.col("c") - 1) * F.length("line")).alias("again")), "doc_id", "left").select("doc_id", F.when(F.col("n") > 0, F.coalesce("again", F.lit(0)) / F.col("n")).alias(name))
-
-
-def _grams(docs: DataFrame, n: int) -> DataFrame:
-    t = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("p", "t"))
-    over = Window.partitionBy("doc_id").orderBy("p")
-    return t.select("doc_id", "p", "t", F.when(F.lead("t", n - 1).over(over).isNotNull(), F.concat_ws(" ", "t", *[F.lead("t", k).over(over) for k in range(1, n)])).alias("gram"))
+    return docs.select("doc_id", scoring.duplicate_share(F.col("text"), separator).alias(name))
 
 
-def top_ngram(docs: DataFrame, n: int = 2) -> DataFrame:
-    """The most frequent n-gram (ties: the least), and the share of characters of all its occurrences."""
-    g = _grams(docs, n).where("gram IS NOT NULL").groupBy("doc_id", "gram").agg(F.count("*").alias("c"))
-    best = g.groupBy("doc_id").agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("gram"))).alias("b"))
-    chars = docs.select("doc_id", F.length("text").alias("n_chars"))
-    return best.join(chars, "doc_id").select("doc_id", F.col("b.gram").alias("gram"), (-F.col("b.c")).alias("n"), (-F.col("b.c") * F.length("b.gram") / F.col("n_chars")).alias(f"top_ngram_chr_fraction_{n}"))
+def top_ngrams(docs: DataFrame, sizes=scoring.TOP) -> DataFrame:
+    """For each n the share of characters that all occurrences of the most frequent n-gram have (ties: the least)."""
+    rows = docs.select("doc_id", "text", F.length("text").alias("n_characters"))
+    m = scoring.token_metrics(rows, ["doc_id", "n_characters"], [f"top_ngram_share_{n}" for n in sizes])
+    return m.select("doc_id", *[(F.col(f"top_ngram_share_{n}") / F.when(F.col("n_characters") > 0, F.col("n_characters"))).alias(f"top_ngram_chr_fraction_{n}") for n in sizes])
 
 
-def duplicate_ngrams(docs: DataFrame, n: int = 5) -> DataFrame:
-    """Share of token characters that n-grams seen more than once cover, overlaps counted once."""
-    g = _grams(docs, n)
-    g = g.withColumn("c", F.count("gram").over(Window.partitionBy("doc_id", "gram")))
-    back = Window.partitionBy("doc_id").orderBy("p").rowsBetween(-(n - 1), 0)
-    g = g.withColumn("hit", F.max(F.when(F.col("gram").isNotNull() & (F.col("c") > 1), 1).otherwise(0)).over(back))
-    return g.groupBy("doc_id").agg((F.sum(F.length("t") * F.col("hit")) / F.sum(F.length("t"))).alias(f"duplicate_ngram_chr_fraction_{n}"))
+def duplicate_ngrams(docs: DataFrame, sizes=scoring.DUPLICATE) -> DataFrame:
+    """For each n the share of token characters that n-grams seen more than once cover, overlaps counted once."""
+    return scoring.token_metrics(docs, ["doc_id"], [f"duplicate_ngram_chr_fraction_{n}" for n in sizes])

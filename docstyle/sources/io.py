@@ -38,6 +38,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON object per row, UTF-8, nulls left out."""
+    df.write.mode(mode).json(path)
+
+
 def append_completions(df: DataFrame, path: str) -> None:
     """Adds (id, completion, model, max_new_tokens, timestamp_utc) to an append-only JSON log."""
     stamp = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")

@@ -109,8 +109,10 @@ def test_impute_and_missing(spark):
 
 
 def test_snap_and_excerpts(spark):
-    assert corpus.snap(["word"] * 15, 10, 12) == ["word"] * 12
-    assert corpus.snap(["Hi."], 5, 10) == []
+    cut = lambda w, least, most: w[slice(*(int(x[0]) for x in corpus.bounds(corpus.sentence_ends(w), len(w), np.array([0]), np.array([most + 200]), least, most)))]
+    assert cut(["word"] * 15, 10, 12) == ["word"] * 12
+    assert cut(["Hi."], 5, 10) == []
+    assert cut("Cut off. One two three. Four five six. Seven eight".split(), 3, 6) == "One two three.".split()
     text = "One two three four five six. Seven eight nine ten. " * 60
     docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
     a, b = (sorted(map(tuple, corpus.excerpts(docs.repartition(n), 2, 20, 40).collect())) for n in (1, 3))

@@ -1,10 +1,10 @@
 import pytest
 
-from docstyle import settings, taxonomy
+from docstyle import taxonomy
 
 
 def test_each_metric_has_one_category_and_what_is_left_out_is_known():
-    names = [m for x in taxonomy.CATEGORIES.values() for m in x.split()]
+    names = [m for x in taxonomy.CATEGORIES.values() for m in x]
     assert len(names) == len(set(names)) == len(taxonomy.CATEGORY)
     assert set(taxonomy.LEFT_OUT) <= set(names) and len(set(taxonomy.LEFT_OUT)) == len(taxonomy.LEFT_OUT)
 
@@ -20,7 +20,3 @@ def test_features_and_table(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 3.0)], "id string, comma_rate double, mattr double, lix double")
     assert taxonomy.features(df, ["id"]).columns == ["id", "mattr", "comma_rate"]
     assert taxonomy.table(spark).where("left_out").count() == len(taxonomy.LEFT_OUT)
-
-
-def test_defaults():
-    assert settings.Scoring().trigram_test_share == 0.2 and settings.Continuation().least_words == 500
