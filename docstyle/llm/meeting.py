@@ -19,7 +19,7 @@ from .textkernels import raw
 #: Texts are taken in lots of about so many bytes.
 LOT = 2 << 20
 #: Buckets for each shuffle partition: a task holds the rows of one bucket at a time.
-BUCKETS = 4
+BUCKETS = 2
 _U = np.uint64
 _CODEC = pa.Codec("zstd", compression_level=1)
 

@@ -28,6 +28,10 @@ _AFTER = [x.encode() for x in "\"')]}»«›‹”“’‘」』）"]
 _ENDS = [x.encode() for x in ".!?…。！？"]
 
 
+#: Bits of a place that hold a count of sentences.
+_SIZE = 31
+
+
 def _found(buf: np.ndarray, pattern: bytes) -> np.ndarray:
     """Where a pattern's last byte stands."""
     at = np.flatnonzero(buf == pattern[-1])
@@ -117,26 +121,31 @@ def keyed(docs: DataFrame) -> Column:
 
 def covers(docs: DataFrame, key: Column, least: int = SENTENCES, words: int = WORDS) -> DataFrame:
     """of, key, covers: for each text (doc_id and hash) that loses something, the sorted places of its spans that are not the
-    first of their hash, the order being doc_id, key (see keyed()), then position. A span has max(least, words) sentences at
-    most; its place is the number of its first and its sentences, as number * (max(least, words) + 1) + sentences.
+    first of their hash, the order being doc_id, key (see keyed()), then position. A place is the number of a first sentence
+    and a count of sentences in one long.
 
-    A lot of texts knows all but its own first span of a hash to be no first; only that one crosses the network, so a passage
-    that a third of all documents share is as many rows as there are lots."""
+    A lot of texts knows all but its own first span of a hash to be no first, and joins them to runs of sentences; only the
+    first crosses the network, so a passage that a third of all documents share is as many rows as there are lots."""
     small_batches(docs.sparkSession)
-    base = max(least, words) + 1
     buckets = meeting.buckets_of(docs)
     names = ["bucket", "n", "blob", "doc_id", "key", "place"]
 
     def emit(batches):
         for (ids, keys), texts in meeting.lots(batches, 2):
             text, at, size, h = span_hashes(texts, least, words)
-            doc, key, place = np.array(ids, dtype=np.int64)[text], np.array(keys, dtype=np.int64)[text], at * base + size
+            doc, key, place = np.array(ids, dtype=np.int64)[text], np.array(keys, dtype=np.int64)[text], at << _SIZE | size
             order = np.lexsort((place, key, doc, h))
             new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(order)]
             first, later = np.sort(order[new]), np.sort(order[~new])
-            b, m, x = meeting.blobs(h[first], [doc[first], key[first], place[first]], buckets)
+            doc_, key_, place_ = doc[first], key[first], place[first]
+            # spans come by text and position, and of two the later ends no earlier
+            begin, end, whose = at[later], at[later] + size[later], text[later]
+            run = np.flatnonzero(np.append(True, (whose[1:] != whose[:-1]) | (begin[1:] > end[:-1]))[: len(later)])
+            doc, key = doc[later][run], key[later][run]
+            place = begin[run] << _SIZE | (end[np.append(run[1:], len(later)) - 1] - begin[run] if len(run) else run)
+            b, m, x = meeting.blobs(h[first], [doc_, key_, place_], buckets)
             yield pa.record_batch([pa.array(b, pa.int32()), pa.array(m, pa.int32()), pa.array(x, pa.binary()), *[pa.nulls(len(b), pa.int64())] * 3], names=names)
-            yield pa.record_batch([pa.array(doc[later] % buckets, pa.int32()), pa.nulls(len(later), pa.int32()), pa.nulls(len(later), pa.binary()), pa.array(doc[later]), pa.array(key[later]), pa.array(place[later])], names=names)
+            yield pa.record_batch([pa.array(doc % buckets, pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(key), pa.array(place)], names=names)
 
     def tell(batches):
         for rows, columns in meeting.by_bucket(batches, [np.int64, np.int64, np.int64, np.uint64]):
@@ -153,7 +162,7 @@ def covers(docs: DataFrame, key: Column, least: int = SENTENCES, words: int = WO
     return stored(places.groupBy(F.col("doc_id").alias("of"), "key").agg(F.sort_array(F.collect_set("place")).alias("covers")))
 
 
-def _cut(texts: list[bytes], found: list, base: int) -> list[tuple[bytes, int, int, int]]:
+def _cut(texts: list[bytes], found: list) -> list[tuple[bytes, int, int, int]]:
     """For each text without the sentences of its spans' places (None: it has none): what is left; bytes, runs and
     sentences removed."""
     w, _, first, text = sentences(texts)
@@ -166,8 +175,9 @@ def _cut(texts: list[bytes], found: list, base: int) -> list[tuple[bytes, int, i
         own = first[bounds[i] : bounds[i + 1]]
         places = np.array(places, dtype=np.int64)
         gone = np.zeros(len(own) + 1, dtype=np.int64)
-        np.add.at(gone, places // base, 1)
-        np.add.at(gone, np.minimum(places // base + places % base, len(own)), -1)
+        begin, size = places >> _SIZE, places & ((1 << _SIZE) - 1)
+        np.add.at(gone, begin, 1)
+        np.add.at(gone, np.minimum(begin + size, len(own)), -1)
         gone = np.cumsum(gone)[:-1] > 0
         # a sentence owns the white space after it, so that what stays is contiguous
         begin = np.append(w.start[own] - w.text_start[i], len(t))
@@ -185,7 +195,7 @@ def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, counts:
     without doc_id keep their text and are compared with nothing, null texts stay null. Texts under `least` sentences or
     `words` words hold no span. Spans compare lower-cased words, so other spacing or case does not hide a repeat.
     Only texts that lose something are shuffled, while they are few enough for their ids to be broadcast (common.few)."""
-    key, names, base = keyed(docs), docs.columns, max(least, words) + 1
+    key, names = keyed(docs), docs.columns
     found = covers(docs, key, least, words)
     more = [c + "_" * (c in names) * max(map(len, names)) for c in ("removed_bytes", "removed_runs", "removed_sentences")]
     i, k, c = (x + "_" * max(map(len, names)) for x in ("of", "key", "covers"))
@@ -200,7 +210,7 @@ def cleaned(docs: DataFrame, least: int = SENTENCES, words: int = WORDS, counts:
     def run(batches):
         for b in batches:
             null = b.column(at).is_null()
-            done = _cut(raw(b.column(at)), b.column(len(names)).to_pylist(), base)
+            done = _cut(raw(b.column(at)), b.column(len(names)).to_pylist())
             text = pa.array([None if z else x[0] for x, z in zip(done, null.to_pylist())], pa.binary()).cast(pa.string())
             yield pa.record_batch([*(b.column(j) if j != at else text for j in range(len(names))), *(pa.array([x[j] for x in done], pa.int64()) for j in (1, 2, 3))], names=[*names, *more])
 

@@ -360,3 +360,94 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 100), (95, 95)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(2, 41)) and got[100] == got[95] == 90
+
+
+def plain_spans(rows):
+    """By plain Python: sentences as the operator cuts them, spans as strings, the first of each in order kept."""
+    text = {d: (t or "") for d, t in rows}
+    cut, seen, gone = {}, {}, {}
+    for d in sorted(text):
+        w, _, first, _ = spans.sentences([text[d].encode()])
+        first = first.tolist()
+        all_words = [w.buf[a:b].tobytes() for a, b in zip(w.start, w.end)]
+        cut[d] = [all_words[a:b] for a, b in zip(first, [*first[1:], len(all_words)])]
+        gone[d] = [False] * len(cut[d])
+        for i in range(len(cut[d])):
+            for j in range(i + spans.SENTENCES, len(cut[d]) + 1):
+                if sum(map(len, cut[d][i:j])) >= spans.WORDS:
+                    key = tuple(map(tuple, cut[d][i:j]))
+                    if seen.setdefault(key, (d, i)) != (d, i):
+                        gone[d][i:j] = [True] * (j - i)
+                    break
+    return {d: (sum(g), sum(1 for k, x in enumerate(g) if x and not (k and g[k - 1])), [x for s, z in zip(cut[d], g) if not z for x in s]) for d, g in gone.items()}
+
+
+def test_spans_against_plain_sentences(spark):
+    rng = random.Random(8)
+    bank = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(2, 14))) + rng.choice([".", "!", "?", ".\n"]) for _ in range(40)]
+    rows = [(i, " ".join(bank[rng.randint(0, 39) : ][: rng.randint(1, 9)] + [f"Own {i} words {rng.random()}."] + rng.choices(bank, k=rng.randint(0, 12)))) for i in range(150)] + [(200, None), (201, ""), (202, " \n ")]
+    got = {r.doc_id: r for r in spans.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = plain_spans(rows)
+    assert any(n for n, _, _ in want.values())
+    for d, (n, k, left) in want.items():
+        assert (got[d].n_sentences, got[d].n_spans) == (n, k), d
+        assert got[d].text.lower().encode().split() == left, d
+
+
+def test_sharding_balance_and_reruns(spark):
+    rng = random.Random(4)
+    rows = [(i, "w" * rng.randint(0, 400)) for i in range(1200)] + [(5000 + i, "one text that many rows have") for i in range(600)]
+    a, b = (sorted(map(tuple, sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect())) for n in (2, 5))
+    assert a == b
+    load = np.bincount([r[4] for r in a], weights=[r[1] for r in a], minlength=8)
+    assert load.max() < 1.05 * load.mean() and load.min() > 0.95 * load.mean()
+
+
+def test_flat_trees_against_a_plain_walk():
+    rng = np.random.default_rng(1)
+    x = rng.random((500, 5)).astype(np.float32)
+    f = trees.train(x, (x[:, 0] + x[:, 3] > 1).astype(float), trees=15)
+    for row, score in zip(x[:100], f.score(x[:100])):
+        z = f.base
+        for at in f.roots:
+            while f.child[at, 0] != at:
+                at = f.child[at, int(row[f.feature[at]] > f.threshold[at])]
+            z += f.value[at]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_noisy_or_against_plain_sentences():
+    words = ["bad", "worse", "kind"]
+    keys = np.array([int(toxicity.terms([w.encode()])[1][0][0]) for w in words], dtype=np.uint64)
+    order = np.argsort(keys)
+    weight = dict(zip(words, (3.0, 5.0, -1.0)))
+    m = toxicity.Model(keys[order], np.array([weight[words[i]] for i in order]), -4.0, 1.7)
+    texts = ["Bad day. A kind man.", "worse and worse! bad\nfine", "", "nothing. here"]
+    got = m.documents([t.encode() for t in texts])[0]
+    for t, score in zip(texts, got):
+        clean = 1.0
+        for s in [s for s in re.split(r"[.!?\n]", t) if re.search(r"\w", s)] or [""]:
+            z = sum(weight.get(w, 0) for w in re.findall(r"\w+", s.lower())) - 4.0
+            clean *= (1 - 1 / (1 + np.exp(-z))) ** 1.7
+        assert score == pytest.approx(1 - clean)
+
+
+def test_broken_images_are_no_images():
+    for data in (b"P5\n99999999999999 99999999999999\n255\nx", b"P5\n2 2\n0\nabcd", b"P2\n1 1\n70000\n1", b"P5\n100000 100000\n255\n", b"BM" + bytes(60), b"P3\n1 1\n255\n1 2"):
+        assert media.decode(data) is None
+
+
+def test_names_that_clash_and_parts_of_texts(spark):
+    d = spark.createDataFrame([(i, f" a{i}  b\nc d\te ", f"s{i % 3}", 1, 2, 3, 4) for i in range(40)], "doc_id long, text string, source string, mix_id int, mix_shard int, salt int, rank int")
+    out = mixing.mix(d)
+    assert {"mix_id", "mix_shard", "salt", "rank"} <= set(out.columns) and {r.salt for r in out.collect()} == {3}
+    for r in out.collect():
+        assert f" a{r.doc_id}  b\nc d\te ".startswith(r.text)
+    parts = packing.pieces(d).withColumn("salt", __import__("pyspark").sql.functions.lit(777))
+    assert {r.salt for r in packing.pack(parts).collect()} == {777}
+    twice = packing.pack(packing.pieces(d.unionAll(d)), copies=True).collect()
+    assert sorted((r.doc_id, r.copy) for r in twice) == sorted((i, c) for i in range(40) for c in (0, 1))
+    kept = jaccard.one_of_each(d.withColumnRenamed("rank", "kept_id"))
+    assert "kept_id" in kept.columns
+    rows = [(1, "a b c d e f g h", "x"), (1, "quite another text of the same id here", "x"), (1, "a b c d e f g h", "x"), (2, "a b c d e f g h", "x")]
+    assert sorted(r.text for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()) == sorted({rows[0][1], rows[1][1]})
