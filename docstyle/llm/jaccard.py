@@ -264,13 +264,20 @@ def _linked(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     set that isn't empty n, k1, k2, component, component_id, n_links, component being a name without a meaning."""
     small_batches(docs.sparkSession)
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(docs).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    # of equal texts the first alone is looked into: a copy would tell all that its original shows
+    facts = known.select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("g"))
+    again = few(checkpoint(facts.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")))
+    copies = checkpoint(facts.join(again, ["h", "g"]).where("doc_id > first").select("doc_id", "h", "first"))
+    known = known.join(few(copies.select("doc_id", "h").distinct()), ["doc_id", "h"], "left_anti")
     gated = stored(_gated(known, n, percent))
-    rows = gated.where("size IS NOT NULL").select("doc_id", "h", F.col("size").alias("n"), "k1", "k2")
+    own = gated.where("size IS NOT NULL").select("doc_id", "h", F.col("size").alias("n"), "k1", "k2")
+    firsts = own.withColumnRenamed("doc_id", "first").join(again.select("first", "h"), ["first", "h"], "left_semi").distinct()
+    rows = checkpoint(own.unionByName(copies.join(few(firsts), ["first", "h"]).drop("first")))
     full = rows.where("n > 0")
     keys = ["n", "k1", "k2"]
     least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * percent / 100) * MORE / 100))
     shared = gated.where("shared > 0").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    passed = full.join(shared, "doc_id").where(F.col("shared") >= least).select(*keys).distinct()
+    passed = own.join(shared, "doc_id").where(F.col("shared") >= least).select(*keys).distinct()
     classes = checkpoint(full.groupBy(*keys).agg(F.min(F.struct("doc_id", "h")).alias("head"), F.count("*").alias("weight")).select(*keys, "head.*", "weight"))
     # a class is named by a digest, as several may have rows of one doc_id
     heads = checkpoint(classes.join(passed, keys, "left_semi").select("doc_id", "h", F.col("k1").alias("node"), "n", "weight"))
