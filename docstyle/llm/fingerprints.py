@@ -23,21 +23,23 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 def samples(terms: DataFrame, keys: list[str], slots: int = SLOTS, *more: Column) -> DataFrame:
     """keys and s0, s1, ...: each slot's least sample over rows (keys, term long, weight).
 
-    With r and c from gamma(2, 1) and beta uniform, t = floor(ln w / r + beta) and ln a = ln c - r (t - beta + 1). r is the sum
-    of two exponentials; c, of which only small values win, is the quantile of a uniform u by its series in sqrt(2 u), within
-    3 % up to the median and closer below. As
-    ln a is a function of the term, the slot and t, equal values of the least ln a stand for equal (term, t), so
-    the value itself is the sample: a fixed-width aggregate that runs in generated code and is combined by tasks. Spark takes
-    logarithms by StrictMath, which gives the same bits on every machine."""
-    logw = F.log("weight")
+    The draw has r and c from gamma(2, 1) and a uniform beta, t = floor(ln w / r + beta) and a = c exp(-r (t - beta + 1)). Of a
+    gamma(2, 1) variable cut at a uniform share, both parts are independent exponentials: with r beta = -ln u1 and
+    r (1 - beta) = -ln u2, exp(-r) is q = u1 u2 and a = c u2 q^t. t is 0 while u1 <= w < 1 / u2 and 1 below 1 / (u2 q), so that
+    only heavy terms take logarithms, which Spark leaves to StrictMath: the same bits on every machine. c, of which only small
+    values win, is the quantile of a uniform u by its series in sqrt(2 u), within 3 % up to the median and closer below. As a
+    is a function of the term, the slot and t, equal values of the least a stand for equal (term, t), so the value itself is
+    the sample: a fixed-width aggregate that runs in generated code and is combined by tasks."""
+    w = F.col("weight").cast("double")
     aggs = []
     for j in range(slots):
         h = F.xxhash64("term", F.lit(j))
-        r = -F.log(_uniform(h, 0, 13) * _uniform(h, 13, 13))
-        x = F.sqrt(_uniform(h, 26, 26) * F.lit(2.0))
+        u1, u2 = _uniform(h, 0, 19), _uniform(h, 19, 19)
+        q, begin = u1 * u2, w * u2
+        x = F.sqrt(_uniform(h, 38, 26) * F.lit(2.0))
         c = x * (F.lit(1.0) + x * (F.lit(1 / 3) + x * (F.lit(11 / 72) + x * (F.lit(43 / 540) + x * (F.lit(769 / 17280) + x * F.lit(221 / 8505))))))
-        beta = _uniform(h, 52, 12)
-        aggs.append(F.min(F.log(c) - r * (F.floor(logw / r + beta) - beta + F.lit(1.0))).alias(f"s{j}"))
+        power = F.when((begin < 1.0) & (w >= u1), F.lit(1.0)).when((begin >= 1.0) & (begin * q < 1.0), q).otherwise(F.pow(q, F.floor(F.log(w / u1) / -F.log(q))))
+        aggs.append(F.min(c * u2 * power).alias(f"s{j}"))
     return terms.groupBy(*keys).agg(*aggs, *more)
 
 
