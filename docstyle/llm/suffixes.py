@@ -18,10 +18,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, small_batches, stored, table, text_of
+from .common import checkpoint, partitions, small_batches, table, text_of
+from .meeting import blobs, buckets_of, by_bucket, lots, met
 from .textkernels import _BYTE, _powers, mix, raw
 
 DEPTH = 50
@@ -138,6 +139,26 @@ def _compare(digits, docs, ats, segs, depth: int):
     return docs[r], b, e
 
 
+def settle(doc: np.ndarray, mark: np.ndarray, key: np.ndarray, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, digit, mark, status) of the runs of some digits that are covered (1), to be compared in a task (0) or by the
+    cluster (2), of all runs of those digits. key: the digit above 16 bits."""
+    order = np.lexsort((doc, mark, key))
+    doc, mark, key = doc[order], mark[order], key[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    begin = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    ends = np.append(begin[1:], len(key))
+    if len(begin) == 0:
+        return doc, doc, mark, doc.astype(np.int32)
+    first, last = np.minimum.reduceat(doc, begin)[number], np.maximum.reduceat(doc, begin)[number]
+    several, n = (mark[begin] < mark[ends - 1])[number], (ends - begin)[number]
+    same = np.flatnonzero(new | np.append(True, mark[1:] != mark[:-1]))
+    whole = np.repeat(doc[same], np.diff(np.append(same, len(key))))
+    status = np.where(whole < doc, 1, np.where(n > group, 2, np.where(several, 0, 1))).astype(np.int32)
+    keep = (first < last) & ((status != 1) | (doc > first))
+    return doc[keep], (key[keep] >> np.uint64(16)).view(np.int64), mark[keep], status[keep]
+
+
 def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None = None) -> DataFrame:
     """(doc_id, begin, end) byte intervals, unions of the windows that also begin in a document with a smaller doc_id.
 
@@ -158,33 +179,45 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
     some = sample_of.join(F.broadcast(sample.distinct()), "doc_id")
     least = max(50, int(HOT_SHARE * HOT_SAMPLE))
     hot_digits = [x.digit for x in some.mapInArrow(digits, schema).distinct().groupBy("digit").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "digit").limit(50_000).select("digit").collect()]
-    status = F.when(F.col("n") > GROUP, 2).when(F.col("lo") < F.col("hi"), 0).otherwise(1)
-    over, same = Window.partitionBy("digit"), Window.partitionBy("digit", "mark")
     facts = [F.min("doc_id"), F.max("doc_id"), F.min("mark"), F.max("mark"), F.count("*")]
     names = ["first", "last", "lo", "hi", "n"]
     hot = np.sort(np.array(hot_digits, dtype=np.int64))
+    group, buckets = GROUP, buckets_of(docs)
+
+    def is_hot(digit):
+        at = np.minimum(np.searchsorted(hot, digit), max(0, len(hot) - 1))
+        return hot[at] == digit if len(hot) else np.zeros(len(digit), dtype=bool)
+
+    def packed(batches):
+        for (ids,), texts in lots(batches, 1):
+            text, _, _, digit, mark = runs(texts, depth)
+            cold = ~is_hot(digit.view(np.int64))
+            doc = np.array(ids, dtype=np.int64)[text[cold]]
+            # the digit's 48 bits above, as buckets are ranges of the key
+            bucket, n, blob = blobs(digit[cold] << np.uint64(16), [doc, mark[cold].view(np.int64)], buckets)
+            yield pa.record_batch([pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "n", "blob"])
+
+    def decide(batches):
+        for _, columns in by_bucket(batches, [np.int64, np.int64, np.uint64]):
+            if columns:
+                doc, digit, mark, status = settle(*columns, group)
+                # a run by its digit and mark in one long
+                yield pa.record_batch([pa.array(doc), pa.array(digit ^ mark << 17), pa.array(status)], names=["doc_id", "run", "status"])
+
+    found = met(docs.mapInArrow(packed, "bucket int, n int, blob binary")).mapInArrow(decide, "doc_id long, run long, status int")
+    if len(hot):
 
-    def marked(keep: bool):
-        def run(batches):
+        def only_hot(batches):
             for b in digits(batches):
-                d = b.column(1).to_numpy()
-                at = np.minimum(np.searchsorted(hot, d), max(0, len(hot) - 1))
-                yield b.filter(pa.array((hot[at] == d) == keep if len(hot) else np.full(len(d), not keep)))
-
-        return run
+                yield b.filter(pa.array(is_hot(b.column(1).to_numpy())))
 
-    # one exchange by digit serves both windows
-    cold = docs.mapInArrow(marked(False), schema).repartition(partitions(spark), "digit").withColumn("whole", F.min("doc_id").over(same)).select("doc_id", "digit", "mark", "whole", *[f.over(over).alias(n) for f, n in zip(facts, names)])
-    found = cold
-    if len(hot):
-        warm = docs.mapInArrow(marked(True), schema)
+        warm = docs.mapInArrow(only_hot, schema)
         # as many rows as there are hot digits, which the sample's share bounds
         decided = warm.groupBy("digit").agg(*[f.alias(n) for f, n in zip(facts, names)])
-        found = cold.unionByName(warm.withColumn("whole", F.col("doc_id")).join(F.broadcast(decided), "digit"))
-    found = found.where("first < last").withColumn("status", F.when(F.col("whole") < F.col("doc_id"), 1).otherwise(status)).where("status <> 1 OR doc_id > first")
-    # a run by its digit and mark in one long
-    run_key = F.col("digit").bitwiseXOR(F.shiftleft("mark", 17)).alias("run")
-    told = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct(run_key, "status")).alias("told"))
+        status = F.when(F.col("n") > GROUP, 2).when(F.col("lo") < F.col("hi"), 0).otherwise(1)
+        warm = warm.join(F.broadcast(decided), "digit").where("first < last").withColumn("status", status).where("status <> 1 OR doc_id > first")
+        found = found.unionByName(warm.select("doc_id", F.col("digit").bitwiseXOR(F.shiftleft("mark", 17)).alias("run"), "status"))
+    told = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("run", "status")).alias("told"))
     joined = docs.join(told, docs.doc_id == told.of).select("doc_id", "text", "told")
 
     def open_runs(batches):
@@ -224,14 +257,14 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
             d, doc, at = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2))
             return _compare(d, doc, at, [r[3] for r in rows], depth)
 
-        def give(doc, b, e, seg=None):
-            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int64()), pa.nulls(len(b), pa.binary()) if seg is None else seg], names=["doc_id", "begin", "end", "seg"])
+        def give(doc, b, e):
+            return pa.record_batch([pa.array(doc, pa.int64()), pa.array(b, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "begin", "end"])
 
         for b in batches:
             status = b.column(1).to_numpy()
-            other = b.filter(pa.array(status != 0))
-            if other.num_rows:
-                yield give(other.column(0), other.column(3), other.column(4), other.column(5))
+            done = b.filter(pa.array(status == 1))
+            if done.num_rows:
+                yield give(done.column(0), done.column(3), done.column(4))
             r = b.filter(pa.array(status == 0))
             left += zip(r.column(2).to_pylist(), r.column(0).to_pylist(), r.column(3).to_pylist(), r.column(5).to_pylist())
             # rows come sorted by digit: all but the last digit are complete
@@ -243,13 +276,29 @@ def coverage(docs: DataFrame, depth: int = DEPTH, sample_of: DataFrame | None =
         if left:
             yield give(*finish(left))
 
-    closed = stored(opened.sortWithinPartitions("status", "route").mapInArrow(compare, "doc_id long, begin long, end long, seg binary"))
-    # the windows of digits with too many runs for one task: one row each, grouped by all of their bytes at once
-    steps = F.sequence(F.lit(0), F.length("seg") - depth)
-    many = closed.where("seg IS NOT NULL").select("doc_id", "begin", "seg", F.explode(steps).alias("i")).select("doc_id", (F.col("begin") + F.col("i")).alias("begin"), F.substring("seg", F.col("i") + 1, F.lit(depth)).alias("window"))
+    closed = opened.sortWithinPartitions("status", "route").mapInArrow(compare, "doc_id long, begin long, end long")
+
+    def windows(batches):
+        def give(rows):
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "begin", "window"])
+
+        for b in batches:
+            b, rows = b.filter(pa.array(b.column(1).to_numpy() == 2)), []
+            for d, at, seg in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(5).to_pylist()):
+                for i in range(len(seg) - depth + 1):
+                    rows.append((d, at + i, seg[i : i + depth]))
+                    if len(rows) >= 20_000:
+                        yield give(rows)
+                        rows = []
+            if rows:
+                yield give(rows)
+
+    # the windows of digits with too many runs for one task: one row each, grouped by all of their bytes at once. All three
+    # uses of opened take it whole, in Python, so that they share one exchange and nothing has to be stored between
+    many = opened.mapInArrow(windows, "doc_id long, begin long, window binary")
     first = many.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
     wide = many.join(first, "window").where("doc_id > first").select("doc_id", "begin", (F.col("begin") + depth).alias("end"))
-    return closed.where("seg IS NULL").select("doc_id", "begin", "end").unionByName(wide)
+    return closed.unionByName(wide)
 
 
 def dedup(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
