@@ -342,6 +342,18 @@ def test_fingerprints(plain, docs):
     assert fingerprints.fingerprints(docs).count() == len(corpus())
 
 
+def test_fingerprints_plan_one_signing_at_a_time(spark, monkeypatch):
+    """Rows without doc_id are signed by a plan of their own, only where there are some, and come out alike."""
+    calls, signed = [], fingerprints._signed
+    monkeypatch.setattr(fingerprints, "_signed", lambda *a: calls.append(1) or signed(*a))
+    rows = [(2, "one two two three"), (1, "four five"), (None, "one two two three")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows[:2], "doc_id long, text string"), 4).collect()
+    assert len(calls) == 1 and len(got) == 2
+    got = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert len(calls) == 3 and set(got) == {1, 2, None}
+    assert got[None].fingerprint == got[2].fingerprint and got[None].near_next is None and got[2].near_next is not None
+
+
 def test_likeness_against_exact_similarity(spark):
     from collections import Counter
 
