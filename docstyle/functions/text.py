@@ -58,6 +58,12 @@ def all_caps_words(text: Column) -> Column:
     return F.size(F.filter(words(text), lambda w: (F.length(w) > 1) & (F.upper(w) == w) & (F.lower(w) != w)))
 
 
+def all_caps_rate(text: Column) -> Column:
+    """All-capital words by tokens; NaN for a text without tokens (as 0 / 0 in SQL), null for a null text."""
+    n = F.size(tokens(text))
+    return F.when(n > 0, F.try_divide(all_caps_words(text), n)).when(n == 0, F.lit(float("nan")))
+
+
 def chunks(text: Column, size: int = 100, overlap: int = 3) -> Column:
     """Runs of `size` words that begin every size - overlap words; none of an empty text."""
     step, w = max(1, size - overlap), words(text)
