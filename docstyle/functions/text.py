@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token: a run of letters, digits and underscores, or any other single character that isn't white space.
-TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+#: A token: a run of letters, digits and underscores, or any other single character that isn't white space (of which SQL's
+#: expressions know five; Java's also take the vertical tab).
+TOKEN = r"[\p{L}\p{N}_]+|[^\t\n\f\r \p{L}\p{N}_]"
 #: A sentence's end, with closing quotes and brackets.
 SENTENCE_END = r"""[.!?]["')\]]*"""
 #: What each rate counts; non-overlapping, per thousand characters.
@@ -16,8 +17,13 @@ MARKS = {
 }
 
 
+def lower(text: Column) -> Column:
+    """In lower case by single characters, as SQL does it: Java makes two of a dotted capital I, and a final sigma."""
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def words(text: Column) -> Column:
