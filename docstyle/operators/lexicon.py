@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,11 @@ BROADCAST_ROWS = 500_000
 
 def small(lexicon: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a lexicon for broadcasting after counting no further than the limit."""
-    return F.broadcast(lexicon) if lexicon.limit(most + 1).count() <= most else lexicon
+    return F.broadcast(lexicon) if is_small(lexicon, most) else lexicon
+
+
+def is_small(lexicon: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    return lexicon.limit(most + 1).count() <= most
 
 
 def exploded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,9 +51,14 @@ def score(docs: DataFrame, lexicon: DataFrame, prefix: str, columns=("score",),
     return j.groupBy(key).agg(*aggs)
 
 
+def by_emotion(lexicon: DataFrame, names=tuple(EMOTIONS)) -> DataFrame:
+    """A row per term with its score of each emotion, 0 without one."""
+    return lexicon.groupBy("term").agg(*[F.coalesce(F.max(F.when(F.col("emotion") == e, F.col("score"))), F.lit(0.0)).alias(e) for e in names]).withColumnRenamed("term", "token")
+
+
 def emotions(docs: DataFrame, lexicon: DataFrame, names=tuple(EMOTIONS), key: str = "doc_id") -> DataFrame:
     """emo_<name>: summed scores by token count, uncovered tokens as 0; emo_diversity: the entropy (nats) of their shares."""
-    wide = lexicon.groupBy("term").agg(*[F.coalesce(F.max(F.when(F.col("emotion") == e, F.col("score"))), F.lit(0.0)).alias(e) for e in names]).withColumnRenamed("term", "token")
+    wide = by_emotion(lexicon, names)
     j = counted(docs, key).join(small(wide), "token", "left")
     total = F.sum("n")
     out = j.groupBy(key).agg(*[F.when(total > 0, F.coalesce(F.sum(F.col(e) * F.col("n")), F.lit(0.0)) / total).alias(f"emo_{e}") for e in names])
@@ -60,3 +72,55 @@ def out_of_vocabulary(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id
     j = counted(docs, key).join(small(vocabulary.select("token").distinct().withColumn("known", F.lit(1))), "token", "left")
     total = F.sum("n")
     return j.groupBy(key).agg(F.when(total > 0, F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)) / total).alias("oov_ratio"))
+
+
+def _sums(table: DataFrame):
+    """What gives for each text the sums over its token occurrences of each column but the first of a small table (token, ...)."""
+    got = table.where("token IS NOT NULL").toPandas()
+    known, weight = pa.array(got.iloc[:, 0].tolist(), pa.string()), got.iloc[:, 1:].to_numpy(dtype=np.float64)
+
+    def run(t) -> np.ndarray:
+        at = pc.index_in(t.values, known).to_numpy(zero_copy_only=False)
+        at = np.where(np.isnan(at), -1, at).astype(np.int64)[t.codes]
+        hit = at >= 0
+        owner, w = t.owner[hit], weight[at[hit]]
+        return np.stack([np.bincount(owner, weights=w[:, j], minlength=len(t.counts)) for j in range(weight.shape[1])])
+
+    return run
+
+
+def score_inline(lexicon: DataFrame, prefix: str, columns=("score",), stats=("mean", "std")):
+    """Means and deviations as score() has them, for a small lexicon, as scoring.Extra: tokens are neither exploded nor shuffled."""
+    moments = [f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("s", lambda c: F.coalesce(F.sum(c), F.lit(0.0))), ("q", lambda c: F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0))))]
+    sums = _sums(lexicon.groupBy("token").agg(*moments))
+    names = [prefix if len(columns) == 1 else f"{prefix}_{c}" for c in columns]
+
+    def run(t):
+        out, x = {}, sums(t)
+        for i, name in enumerate(names):
+            n = np.where(x[3 * i] > 0, x[3 * i], np.nan)
+            mean = x[3 * i + 1] / n
+            out[f"{name}_mean"], out[f"{name}_std"] = mean, np.sqrt(np.maximum(0.0, x[3 * i + 2] / n - mean * mean))
+        return out
+
+    return [f"{name}_{s}" for name in names for s in stats], run
+
+
+def emotions_inline(lexicon: DataFrame, names=tuple(EMOTIONS)):
+    """emotions() for a small lexicon, as scoring.Extra."""
+    sums = _sums(by_emotion(lexicon, names))
+
+    def run(t):
+        share = sums(t) / np.where(t.counts > 0, t.counts, np.nan)
+        whole = share.sum(0)
+        p = share / np.where(whole > 0, whole, 1.0)
+        diversity = -(p * np.log(np.where(p > 0, p, 1.0))).sum(0) + 0.0
+        return {f"emo_{e}": x for e, x in zip(names, share)} | {"emo_diversity": diversity}
+
+    return [*(f"emo_{e}" for e in names), "emo_diversity"], run
+
+
+def out_of_vocabulary_inline(vocabulary: DataFrame):
+    """out_of_vocabulary() for a small vocabulary, as scoring.Extra."""
+    sums = _sums(vocabulary.select("token").distinct().withColumn("known", F.lit(1.0)))
+    return ["oov_ratio"], lambda t: {"oov_ratio": (t.counts - sums(t)[0]) / np.where(t.counts > 0, t.counts, np.nan)}

@@ -1,16 +1,20 @@
 """The metrics table: one row per document with every metric of the taxonomy that its inputs allow.
 
 What needs a text's tokens is one Arrow pass over a token array that Spark makes; a batch's tokens are dictionary-encoded, so
-strings are looked at once per distinct token, and the rest is arithmetic on codes. Nothing of it is shuffled. Lexica,
-parses and vectors are tables of their own and are joined by the keys.
+strings are looked at once per distinct token, and the rest is arithmetic on codes. Nothing of it is shuffled. Lexica of
+up to lexicon.BROADCAST_ROWS tokens and a parser that is a function work in the same pass; larger lexica, parse tables and
+vectors are tables of their own and are joined by the keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import punctuation, sentences, tokens, truncate, words
@@ -77,18 +81,55 @@ def _repetition(codes: np.ndarray, owner: np.ndarray, n_docs: int, size: np.ndar
     return out
 
 
-def token_metrics(docs: DataFrame, keys: list[str], wanted: list[str], text: Column | None = None, split: str = "seeded", window: int = 100, test_frac: float = 0.2, alpha: float = 0.1, seed: int = 2001) -> DataFrame:
-    """keys and the wanted columns of LENGTHS, SENTENCES, REPETITION and sequence.COLUMNS; others are not computed.
+@dataclass(frozen=True)
+class Tokens:
+    """The tokens of some texts in order: codes into the sorted distinct `values`, the text of each, and how many each text has."""
+
+    values: pa.Array
+    codes: np.ndarray
+    owner: np.ndarray
+    counts: np.ndarray
+
+
+#: Columns (doubles, NaN where undefined) and what gives them for some texts at once.
+Extra = tuple[list[str], Callable[[Tokens], dict[str, np.ndarray]]]
+#: About so many tokens are looked at at once, so that a worker's memory does not depend on how many rows a batch has.
+TOKENS_AT_ONCE = 1 << 19
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 4) -> None:
+    """Bounds Arrow batches by rows and bytes, so that long texts do not add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20)
+    except Exception:  # noqa: BLE001  an older Spark has no such setting
+        pass
+
+
+def _pieces(b: pa.RecordBatch, at: int, most: int):
+    """A batch in slices of consecutive rows whose lists in column `at` hold `most` items, or of single longer rows."""
+    total = np.cumsum(pc.fill_null(pc.list_value_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
+def token_metrics(docs: DataFrame, keys: list[str], wanted: list[str], text: Column | None = None, split: str = "seeded", window: int = 100, test_frac: float = 0.2, alpha: float = 0.1, seed: int = 2001, extra: tuple[Extra, ...] = (), at_once: int = TOKENS_AT_ONCE) -> DataFrame:
+    """keys and the wanted columns of LENGTHS, SENTENCES, REPETITION and sequence.COLUMNS, then those of extra; others are not computed.
 
     Null and empty texts have counts of 0 and nulls for the rest."""
+    small_batches(docs.sparkSession)
     text = docs.text if text is None else text
+    added = [c for names, _ in extra for c in names]
     need = set(wanted)
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     per_sentence = F.transform(sentences(text), lambda s: F.regexp_count(s, F.lit(r"[\p{L}\p{N}_]+"))) if need & set(SENTENCES) else F.array().cast("array<int>")
     nk = len(keys)
 
     def run(batches):
-        for b in batches:
+        for b in (piece for batch in batches for piece in _pieces(batch, nk, at_once)):
             lists = pc.fill_null(pc.list_value_length(b.column(nk)), 0).to_numpy(zero_copy_only=False)
             encoded = b.column(nk).flatten().dictionary_encode()
             values = encoded.dictionary
@@ -120,10 +161,13 @@ def token_metrics(docs: DataFrame, keys: list[str], wanted: list[str], text: Col
                 for c, v in _repetition(codes, owner, b.num_rows, size, need).items():
                     found[c] = [None if np.isnan(x) else float(x) for x in v]
             cols = [pa.array(found[c], pa.int64() if c in WHOLE else pa.float64()) for c in wanted]
-            yield pa.record_batch([*(b.column(i) for i in range(nk)), *cols], names=[*keys, *wanted])
+            for names, f in extra:
+                got = f(Tokens(values, codes, owner, lists))
+                cols += [pa.array(got[c], pa.float64(), from_pandas=True) for c in names]
+            yield pa.record_batch([*(b.column(i) for i in range(nk)), *cols], names=[*keys, *wanted, *added])
 
     rows = docs.select(*keys, tokens(text).alias("t"), per_sentence.alias("s"))
-    return rows.mapInArrow(run, kinds + "".join(f", {c} {'long' if c in WHOLE else 'double'}" for c in wanted))
+    return rows.mapInArrow(run, kinds + "".join(f", {c} {'long' if c in WHOLE else 'double'}" for c in [*wanted, *added]))
 
 
 def readability_of() -> dict[str, Column]:
@@ -144,54 +188,69 @@ def duplicate_share(text: Column, separator: str = "\n") -> Column:
     return F.when(F.length(text) > 0, (F.length(F.replace(text, F.lit(separator), F.lit(""))) - once) / F.length(text))
 
 
-def text_metrics(docs: DataFrame, keys: list[str], split: str = "seeded", max_chars: int | None = None) -> DataFrame:
-    """keys and every metric that needs the text alone, under the taxonomy's names."""
+def text_metrics(docs: DataFrame, keys: list[str], split: str = "seeded", max_chars: int | None = None, extra: tuple[Extra, ...] = ()) -> DataFrame:
+    """keys and every metric that needs the text alone, under the taxonomy's names, then those of extra."""
     text = docs.text if max_chars is None else truncate(docs.text, max_chars)
     lines = {"duplicate_line_chr_fraction": duplicate_share(text), "duplicate_paragraph_chr_fraction": duplicate_share(text, "\n\n")}
     own = {"n_characters": F.length(text), **lines, **punctuation(text)}
     rows = docs.select(*keys, text.alias("text"), F.struct(*[c.cast("double" if n != "n_characters" else "int").alias(n) for n, c in own.items()]).alias("own_"))
-    m = token_metrics(rows, [*keys, "own_"], [*LENGTHS, *SENTENCES, *REPETITION, *sequence.COLUMNS], split=split)
+    m = token_metrics(rows, [*keys, "own_"], [*LENGTHS, *SENTENCES, *REPETITION, *sequence.COLUMNS], split=split, extra=extra)
     whole = F.col("own_.n_characters")
     shares = [(F.col(f"top_ngram_share_{n}") / F.when(whole > 0, whole)).alias(f"top_ngram_chr_fraction_{n}") for n in TOP]
     unique = (F.col("n_unique_tokens") / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))).alias("proportion_unique_tokens")
     skip = {"chars", "syllable_count", "hard", "long_words"}
     plain = [c for c in [*LENGTHS, *SENTENCES, *(f"duplicate_ngram_chr_fraction_{n}" for n in DUPLICATE), *sequence.COLUMNS] if c not in skip]
-    return m.select(*keys, "own_.*", unique, *plain, *shares, *[c.alias(n) for n, c in readability_of().items()])
+    return m.select(*keys, "own_.*", unique, *plain, *shares, *[c.alias(n) for n, c in readability_of().items()], *[c for names, _ in extra for c in names])
 
 
-def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("id", "source"), lexica: dict[str, DataFrame] | None = None, parse: DataFrame | None = None, vectors: DataFrame | None = None, affect: str = "historical", split: str = "seeded", max_chars: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, keys: tuple[str, ...] = ("id", "source"), lexica: dict[str, DataFrame] | None = None, parse: DataFrame | Callable | None = None, vectors: DataFrame | None = None, affect: str = "historical", split: str = "seeded", max_chars: int | None = None) -> DataFrame:
     """The metrics table: keys and one column per metric, named as in the taxonomy; one row per row of docs (keys, text).
 
     lexica: concreteness, aoa, prevalence (token, score), vad (token, valence, arousal, dominance), emotion (term, emotion,
     score), vocabulary (token). affect "historical" takes concreteness only, "modern" all of them. parse: keys, sent, k, token,
-    pos, dep, head. vectors: keys, idx, vec. A family whose table is missing is left out; a document that such a table
+    pos, dep, head, or a function that parses tokens (see syntax.parsed). vectors: keys, idx, vec. A family whose table is missing is left out; a document that such a table
     lacks has nulls. Keys must be unique; documents are compared with nothing, so only the tables' joins are shuffles."""
     if affect not in ("historical", "modern"):
         raise ValueError(f"affect is historical or modern, not {affect!r}")
     keys, lexica = list(keys), lexica or {}
-    out = text_metrics(docs, keys, split, max_chars)
     key = F.struct(*keys)
     keyed = docs.select(key.alias("doc_id"), "text")
-    parts = []
+    parts, extra = [], []
     norms = {"concreteness": ("mean", "std"), "aoa": ("mean", "std"), "prevalence": ("mean",)}
-    for name, stats in norms.items():
-        if name in lexica and (affect == "modern" or name == "concreteness"):
-            parts.append(lexicon.score(keyed, lexica[name], name, stats=stats, coverage=False))
+    norms = [(n, ("score",), stats) for n, stats in norms.items() if n in lexica and (affect == "modern" or n == "concreteness")]
     if affect == "modern" and "vad" in lexica:
-        parts.append(lexicon.score(keyed, lexica["vad"], "vad", ("valence", "arousal", "dominance"), coverage=False))
+        norms.append(("vad", ("valence", "arousal", "dominance"), ("mean", "std")))
+    # lexica look at whole texts, the pass at their first max_chars
+    inline = lambda table: max_chars is None and lexicon.is_small(table)
+    for name, columns, stats in norms:
+        if inline(lexica[name]):
+            extra.append(lexicon.score_inline(lexica[name], name, columns, stats))
+        else:
+            parts.append(lexicon.score(keyed, lexica[name], name, columns, stats, coverage=False))
     if affect == "modern" and "emotion" in lexica:
-        parts.append(lexicon.emotions(keyed, lexica["emotion"]))
+        if inline(lexica["emotion"]):
+            extra.append(lexicon.emotions_inline(lexica["emotion"]))
+        else:
+            parts.append(lexicon.emotions(keyed, lexica["emotion"]))
     if "vocabulary" in lexica:
-        parts.append(lexicon.out_of_vocabulary(keyed, lexica["vocabulary"]))
-    if parse is not None:
+        if inline(lexica["vocabulary"]):
+            extra.append(lexicon.out_of_vocabulary_inline(lexica["vocabulary"]))
+        else:
+            parts.append(lexicon.out_of_vocabulary(keyed, lexica["vocabulary"]))
+    if callable(parse):
+        extra.append(syntax.inline(parse, TAGS))
+    elif parse is not None:
         p = parse.select(key.alias("doc_id"), "sent", "k", "token", "pos", "dep", "head")
         parts += [syntax.complexity(p), syntax.tree_depth(p), syntax.dependency_distance(p), syntax.pos_proportions(p, TAGS)]
+    out = text_metrics(docs, keys, split, max_chars, tuple(extra))
     if vectors is not None:
         v = vectors.select(key.alias("doc"), "idx", "vec")
         many = keyed.select("doc_id", F.size(words(F.col("text"))).alias("words_"))
         path = semantic.trajectory(v).withColumnRenamed("doc", "doc_id").join(many, "doc_id")
         path = path.withColumn("semantic_trajectory_length_per_word", F.col("cumulative_semantic_trajectory_length") / F.when(F.col("words_") > 0, F.col("words_"))).drop("words_")
         parts += [path, *(f(v).withColumnRenamed("doc", "doc_id") for f in (semantic.range_max, semantic.dispersion, semantic.topic_structure))]
+    if not parts:
+        return out
     out = out.select(key.alias("doc_id"), *[c for c in out.columns if c not in keys])
     for part in parts:
         out = out.join(part, "doc_id", "left")
