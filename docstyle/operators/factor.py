@@ -6,6 +6,7 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,80 @@ def kept_features(df: DataFrame, columns: list[str], threshold: float = 0.3) ->
     return [c for c in columns if rates[c] is not None and rates[c] < threshold]
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to the executors' disks when first computed: statistics and what they are applied to are one computation."""
+    return df if df.is_cached else df.persist(StorageLevel.DISK_ONLY)
+
+
+#: Most distinct values of a column that medians() looks at on the driver.
+BRACKET = 50_000
+
+
+def _quantiles(c: str, lo: float, hi: float):
+    return F.percentile_approx(c, [min(1.0, max(0.0, x)) for x in (lo, hi)], 1000)
+
+
+def medians(df: DataFrame, columns: list[str], brackets: dict[str, tuple[int, list]] | None = None, most: int = BRACKET) -> dict[str, float | None]:
+    """Exact medians without any task that sees a column's values whole: approximate quantiles bracket the middle, the values
+    below a bracket are counted and only those inside it are looked at. A bracket that holds over `most` values is narrowed
+    in the same way, one that misses the middle is widened. df is read several times: let it be kept().
+
+    brackets: of each column how many values it has, and a first bracket, if they are known."""
+    out: dict[str, float | None] = {}
+    if brackets is None:
+        df = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        row = df.agg(*[f.alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count(c)), ("q", _quantiles(c, 0.498, 0.502)))]).first()
+        brackets = {c: (row[f"n{i}"], row[f"q{i}"]) for i, c in enumerate(columns)}
+    out |= {c: None for c, (n, _) in brackets.items() if not n}
+    open_ = {c: (n, *map(float, q)) for c, (n, q) in brackets.items() if n}
+    while open_:
+        names = list(open_)
+        x = lambda c: F.col(c).cast("double")
+        inside = lambda c: (x(c) >= F.lit(open_[c][1])) & (x(c) <= F.lit(open_[c][2]))
+        row = df.agg(*[F.count_if(e).alias(f"{k}{i}") for i, c in enumerate(names) for k, e in (("b", x(c) < F.lit(open_[c][1])), ("i", inside(c)))]).first()
+        ready, narrow = {}, {}
+        for i, c in enumerate(names):
+            n, lo, hi = open_[c]
+            below, held, ranks = row[f"b{i}"], row[f"i{i}"], ((n - 1) // 2, n // 2)
+            if ranks[0] < below:
+                open_[c] = n, -math.inf, hi
+            elif ranks[1] >= below + held:
+                open_[c] = n, lo, math.nan  # Spark's greatest
+            elif lo == hi:
+                out[c] = lo
+                del open_[c]
+            elif held > most:
+                # the sketch is right to a thousandth
+                narrow[c] = below, (ranks[0] - below) / held - 0.002, (ranks[1] - below + 1) / held + 0.002
+            else:
+                ready[c] = tuple(r - below for r in ranks)
+        if narrow:
+            row = df.agg(*[_quantiles(F.when(inside(c), x(c)), *q).alias(f"q{i}") for i, (c, (_, *q)) in enumerate(narrow.items())]).first()
+            for i, (c, (below, *_)) in enumerate(narrow.items()):
+                (n, *old), new = open_[c], list(map(float, row[f"q{i}"]))
+                if np.array_equal(old, new, equal_nan=True):
+                    # a few values that are there many times each hold the bracket open: they are looked at by their numbers
+                    ready[c] = (n - 1) // 2 - below, n // 2 - below
+                else:
+                    open_[c] = n, *new
+        if ready:
+            each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.when(inside(c), x(c)).alias("x")) for c in ready])).alias("e")
+            found: dict[str, list] = {c: [] for c in ready}
+            for r in df.select(each).select("e.*").where("x IS NOT NULL").groupBy("c", "x").count().collect():
+                found[r[0]].append((r[1], r[2]))
+            for c, (a, b) in ready.items():
+                values = sorted(found[c], key=lambda v: (math.isnan(v[0]), v[0]))
+                ends = np.cumsum([v[1] for v in values])
+                lower, upper = (values[int(np.searchsorted(ends, r, side="right"))][0] for r in (a, b))
+                out[c] = lower if lower == upper else 0.5 * lower + 0.5 * upper
+                del open_[c]
+    return out
+
+
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the column's exact median; an all-null column stays null."""
-    med = df.agg(*[F.median(c).alias(c) for c in columns]).first()
+    """Nulls become the column's exact median; an all-null column stays null. df is kept()."""
+    df = kept(df)
+    med = medians(df, columns)
     return df.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.col(c), F.lit(med[c])).cast("double").alias(c) for c in columns])
 
 
@@ -52,12 +124,14 @@ class Statistic:
 
 
 def statistics(df: DataFrame, columns: list[str]) -> dict[str, Statistic]:
-    """Every column's Statistic in one aggregate: the moments after imputation follow from those before it."""
-    facts = {"n": lambda c: F.count(c), "k": lambda c: F.sum(F.col(c).isNull().cast("long")), "med": F.median, "avg": F.avg, "var": F.var_pop}
+    """Every column's Statistic: one aggregate, from which the moments after imputation follow, and the medians. df is kept()."""
+    df = kept(df)
+    facts = {"n": lambda c: F.count(c), "k": lambda c: F.sum(F.col(c).isNull().cast("long")), "q": lambda c: _quantiles(F.col(c).cast("double"), 0.498, 0.502), "avg": F.avg, "var": F.var_pop}
     row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in facts.items()]).first()
-    out = {}
+    out, middle = {}, medians(df, columns, {c: (row[f"n{i}"], row[f"q{i}"]) for i, c in enumerate(columns)})
     for i, c in enumerate(columns):
-        n, k, med, avg, var = (row[f"{x}{i}"] for x in facts)
+        n, k, _, avg, var = (row[f"{x}{i}"] for x in facts)
+        med = middle[c]
         if not n:
             out[c] = Statistic(1.0 if k else 0.0, None, None, 1.0)
             continue
@@ -102,8 +176,9 @@ def apply_factors(df: DataFrame, model: dict, keys: list[str], impute: str = "ne
         raise ValueError(f"impute is new or train, not {impute!r}")
     stats = model["stats"]
     if impute == "new":
-        row = df.agg(*[F.median(c).alias(c) for c in stats]).first()
-        stats = {c: replace(s, median=row[c]) for c, s in stats.items()}
+        df = kept(df)
+        middle = medians(df, list(stats))
+        stats = {c: replace(s, median=middle[c]) for c, s in stats.items()}
     return scores(transform(df.select(*keys, *stats), stats), model["columns"], model["weights"], keys)
 
 
