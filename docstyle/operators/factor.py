@@ -267,6 +267,20 @@ def adequacy(r: np.ndarray, n: int) -> dict[str, float]:
     return {"kmo": float(a / (a + b)), "bartlett_chi2": float(chi2), "bartlett_p": float(chi2_tail(float(chi2), p * (p - 1) / 2))}
 
 
+def random_correlations(n: int, p: int, seed, rows: int = 65_536) -> np.ndarray:
+    """Correlations of n rows of p independent normal numbers, of which `rows` rows are drawn at once: the generator goes on, so
+    the numbers do not depend on it. They are centred and scaled already, so sums of products lose nothing."""
+    rng, total, products = np.random.default_rng(seed), np.zeros(p), np.zeros((p, p))
+    for at in range(0, n, rows):
+        x = rng.standard_normal((min(rows, n - at), p))
+        total += x.sum(0)
+        products += x.T @ x
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = products - np.outer(total, total) / n
+        d = np.sqrt(np.diag(cov))
+        return cov / np.outer(d, d)
+
+
 def parallel_analysis(spark: SparkSession, r: np.ndarray, n: int, draws: int = 500, percentile: float = 95, seed: int = 2001) -> DataFrame:
     """(factor, eigenvalue, pa_threshold, retained): eigenvalues against those of random normal data.
 
@@ -279,8 +293,7 @@ def parallel_analysis(spark: SparkSession, r: np.ndarray, n: int, draws: int = 5
         for b in batches:
             rank, value = [], []
             for i in b.column(0).to_pylist():
-                x = np.random.default_rng([seed, i]).standard_normal((n, p))
-                value += sorted(np.linalg.eigvalsh(np.corrcoef(x, rowvar=False)).tolist(), reverse=True)
+                value += sorted(np.linalg.eigvalsh(random_correlations(n, p, [seed, i])).tolist(), reverse=True)
                 rank += range(1, p + 1)
             yield pa.record_batch([pa.array(rank, pa.int32()), pa.array(value, pa.float64())], names=["factor", "value"])
 

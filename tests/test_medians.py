@@ -43,3 +43,9 @@ def test_statistics_read_the_input_once(spark):
     got = factor.transform(df, factor.statistics(df, ["x"])).collect()
     assert len(got) == 100 and seen.value == 100
     df.unpersist()
+
+
+def test_random_correlations_by_blocks():
+    x = np.random.default_rng([2001, 7]).standard_normal((1000, 5))
+    for rows in (1, 64, 1000, 65_536):
+        assert factor.random_correlations(1000, 5, [2001, 7], rows) == pytest.approx(np.corrcoef(x, rowvar=False), abs=1e-12)
