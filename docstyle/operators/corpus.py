@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SENTENCE_END, after_marker, words
+from .scoring import small_batches
 
 INSTRUCTION = "Continue the passage below in the same voice for about {n} words. Write prose only.\n\nPASSAGE:\n"
 
@@ -67,41 +68,62 @@ def sentence_ends(w: list[str]) -> np.ndarray:
     return np.array([i for i, x in enumerate(w, 1) if re.search(SENTENCE_END, x)], dtype=np.int64)
 
 
-def sample(w: list[str], least: int, most: int, rng: np.random.Generator, extra=(50, 120), tries: int = 60) -> list[str]:
-    """The excerpt of the first of some random windows that gives one, all drawn at once; failing all, that of the text's
-    beginning. A window has extra[0] to extra[1] words more than the excerpt may have."""
-    n = len(w)
+def window(n: int, ends: np.ndarray, least: int, most: int, rng: np.random.Generator, extra=(50, 120), tries: int = 60) -> tuple[int, int]:
+    """(begin, stop) of the excerpt of the first of some random windows of n words that gives one, all drawn at once; failing
+    all, that of the text's beginning. A window has extra[0] to extra[1] words more than the excerpt may have."""
     raw = np.append(np.minimum(n, most + rng.integers(extra[0], extra[1] + 1, tries)), most + extra[1])
     start = np.append(rng.integers(0, np.maximum(1, n - raw[:-1])), 0)
-    begin, stop = bounds(sentence_ends(w), n, start, raw, least, most)
+    begin, stop = bounds(ends, n, start, raw, least, most)
     at = int(np.argmax(stop > begin))
-    return w[begin[at] : stop[at]]
+    return int(begin[at]), int(stop[at])
+
+
+def sample(w: list[str], least: int, most: int, rng: np.random.Generator, extra=(50, 120), tries: int = 60) -> list[str]:
+    """The words of window()."""
+    begin, stop = window(len(w), sentence_ends(w), least, most, rng, extra, tries)
+    return w[begin:stop]
 
 
 def excerpts(docs: DataFrame, n_chunks: int = 3, least: int = 500, most: int = 600, seed: int = 19, key: str = "doc_id", keep=()) -> DataFrame:
     """id, source_id, chunk_idx, target_words, excerpt_words, excerpt, keep...; draws are seeded by the excerpt's id, so they do
     not depend on the order of rows or on partitions. Segments without an excerpt give no row."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
+    small_batches(docs.sparkSession)
     names = ["id", "source_id", "chunk_idx", "target_words", "excerpt_words", "excerpt", *keep]
 
     def run(batches):
         for b in batches:
-            at, target, found = [], [], []
-            for i, (name, w) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}:{name}".encode(), digest_size=8).digest(), "big"))
-                goal = int(rng.integers(least, most + 1))
-                if got := sample(w, least, most, rng):
-                    at.append(i)
-                    target.append(goal)
-                    found.append(got)
+            # the parts are those of segments(); texts are split once, and their sentences' ends found for all words at once
+            size = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            flat = b.column(2).flatten()
+            ends = np.flatnonzero(pc.match_substring_regex(flat, SENTENCE_END).to_numpy(zero_copy_only=False)) + 1
+            at, own = [], {c: [] for c in names[2:6] + ["id"]}
+            for i, key_text in enumerate(b.column(1).to_pylist()):
+                n = int(size[i])
+                if n < least:
+                    continue
+                for j in range(n_chunks):
+                    lo = int(first[i]) + j * (n // n_chunks)
+                    hi = int(first[i]) + (n if j == n_chunks - 1 else (j + 1) * (n // n_chunks))
+                    name = None if key_text is None else key_text + "__chunk" + f"{j:02d}"[:2]
+                    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}:{name}".encode(), digest_size=8).digest(), "big"))
+                    goal = int(rng.integers(least, most + 1))
+                    begin, stop = window(hi - lo, ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, hi, side="right")] - lo, least, most, rng)
+                    if stop > begin:
+                        at.append(i)
+                        for c, v in zip(own, (j, goal, stop - begin, " ".join(flat.slice(lo + begin, stop - begin).to_pylist()), name)):
+                            own[c].append(v)
             rows = pa.array(at, pa.int64())
-            own = [pa.array(target, pa.int32()), pa.array([len(x) for x in found], pa.int32()), pa.array([" ".join(x) for x in found], pa.string())]
-            yield pa.record_batch([*(b.column(j).take(rows) for j in (2, 0, 1)), *own, *(b.column(4 + j).take(rows) for j in range(len(keep)))], names=names)
+            made = [pa.array(own[c], pa.string() if c == "excerpt" else pa.int32()) for c in names[2:6]]
+            yield pa.record_batch([pa.array(own["id"], pa.string()), b.column(0).take(rows), *made, *(b.column(3 + j).take(rows) for j in range(len(keep)))], names=names)
 
     kind = lambda c: docs.schema[c].dataType.simpleString()
     schema = f"id string, source_id {kind(key)}, chunk_idx int, target_words int, excerpt_words int, excerpt string"
-    return segments(docs, n_chunks, least, key, keep).mapInArrow(run, schema + "".join(f", `{c}` {kind(c)}" for c in keep))
+    rows = docs.select(key, F.col(key).cast("string").alias("key_"), words(F.col("text")).alias("w_"), *keep)
+    return rows.mapInArrow(run, schema + "".join(f", `{c}` {kind(c)}" for c in keep))
 
 
 def excerpts_and_prompts(records: DataFrame, key: str = "id", text: str = "text", n_chunks: int = 3, least: int = 500, most: int = 600, seed: int = 19) -> tuple[DataFrame, DataFrame, DataFrame]:
