@@ -46,38 +46,50 @@ def _lengths(codes: np.ndarray, word: np.ndarray, size: np.ndarray, syllables: n
     return len(w), len(np.unique(w)), len(codes), whole, share, *_spread(l), *_spread(s), int(l.sum()), int(s.sum()), int((s >= 3).sum()), int((l > 6).sum())
 
 
+def _least_runs(at: np.ndarray, n: int, codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Of the places `at`, in order, one for each text that has some: where its least run of n tokens begins."""
+    for k in range(n):
+        first = np.flatnonzero(np.diff(owner[at], prepend=-1))
+        code = codes[at + k]
+        at = at[code == np.repeat(np.minimum.reduceat(code, first), np.diff(first, append=len(at)))] if len(at) else at
+    return at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
+
+
 def _repetition(codes: np.ndarray, owner: np.ndarray, n_docs: int, size: np.ndarray, wanted: set[str]) -> dict[str, np.ndarray]:
     """REPETITION of all texts of a batch at once; codes must be in the order of their tokens. NaN where there is no n-gram.
 
-    top_ngram_share_n is the length of the most frequent n-gram, with spaces (of several the least in order), times its count."""
+    top_ngram_share_n is the length of the most frequent n-gram, with spaces (of several the least in order), times its count.
+    A run of n tokens that is repeated begins with a repeated one of n - 1, so only those are made longer and counted."""
     out = {}
-    total = np.bincount(owner, weights=size[codes], minlength=n_docs)
+    longest = max((n for n in (*TOP, *DUPLICATE) if wanted & {f"top_ngram_share_{n}", f"duplicate_ngram_chr_fraction_{n}"}), default=1)
+    before = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size[codes])])  # characters before each token
+    last = np.cumsum(np.bincount(owner, minlength=n_docs))  # where each text ends
+    total = np.diff(before[last], prepend=0)
     base = int(codes.max(initial=0)) + 1
-    # numbers of the runs that begin at each token, by text and then in the order of the runs
-    gram, length = np.unique(owner * base + codes, return_inverse=True)[1], size[codes]
-    for n in range(2, max(DUPLICATE) + 1):
-        start = np.flatnonzero(owner[: len(codes) - n + 1] == owner[n - 1 :]) if len(codes) >= n else np.zeros(0, dtype=np.int64)
-        full = np.full(len(codes), -1, dtype=np.int64)
-        own_length = np.zeros(len(codes), dtype=np.int64)
-        if len(start):
-            full[start] = np.unique(gram[start] * base + codes[start + n - 1], return_inverse=True)[1]
-            own_length[start] = length[start] + 1 + size[codes[start + n - 1]]
-        gram, length = full, own_length
-        count = np.bincount(gram[start], minlength=1)[gram[start]] if len(start) else start
+    # where repeated runs begin, in order, and their numbers, by text and then in the order of the runs
+    at, gram = np.arange(len(codes)), owner * base + codes
+    for n in range(1, longest + 1):
+        if n > 1:
+            within = at + n <= last[owner[at]]
+            at, gram = at[within], gram[within]
+            gram = gram * base + codes[at + n - 1]
+        gram, count = np.unique(gram, return_inverse=True, return_counts=True)[1:]
+        count = count[gram]
+        again = count > 1
+        at, gram, count = at[again], gram[again], count[again]
         if n in TOP and f"top_ngram_share_{n}" in wanted:
+            order = np.lexsort((gram, -count, owner[at]))
+            order = order[np.flatnonzero(np.diff(owner[at][order], prepend=-1))]
             share = np.full(n_docs, np.nan)
-            order = np.lexsort((gram[start], -count, owner[start]))
-            lead = order[np.flatnonzero(np.diff(owner[start][order], prepend=-1))] if len(order) else order
-            share[owner[start][lead]] = count[lead] * length[start][lead]
+            share[owner[at[order]]] = count[order] * (before[at[order] + n] - before[at[order]] + n - 1)
+            start = np.flatnonzero(np.isnan(share)[owner] & (np.arange(len(codes)) + n <= last[owner]))
+            start = _least_runs(start, n, codes, owner)
+            share[owner[start]] = before[start + n] - before[start] + n - 1
             out[f"top_ngram_share_{n}"] = share
         if n in DUPLICATE and f"duplicate_ngram_chr_fraction_{n}" in wanted:
-            mark = np.zeros(len(codes) + 1, dtype=np.int64)
-            again = start[count > 1]
-            np.add.at(mark, again, 1)
-            np.add.at(mark, again + n, -1)
-            hit = np.cumsum(mark)[:-1] > 0
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[f"duplicate_ngram_chr_fraction_{n}"] = np.bincount(owner, weights=size[codes] * hit, minlength=n_docs) / np.where(total > 0, total, np.nan)
+            fresh = np.maximum(at, np.concatenate([np.zeros(1, dtype=np.int64), at[:-1] + n])[: len(at)])
+            hit = np.bincount(owner[at], weights=before[at + n] - before[fresh], minlength=n_docs)
+            out[f"duplicate_ngram_chr_fraction_{n}"] = hit / np.where(total > 0, total, np.nan)
     return out
 
 
@@ -140,9 +152,10 @@ def token_metrics(docs: DataFrame, keys: list[str], wanted: list[str], text: Col
             codes, values = rank[codes], values.take(pa.array(order))
             number = lambda x, kind=np.int64: x.to_numpy(zero_copy_only=False).astype(kind)
             size = number(pc.utf8_length(values))
-            word = number(pc.match_substring_regex(values, r"^[\p{L}\p{N}_]"), bool)
-            syllables = np.maximum(1, number(pc.count_substring_regex(values, "[aeiouy]+")))
-            letter = number(pc.match_substring_regex(values, r"\p{L}"), float)
+            if need & set(LENGTHS):
+                word = number(pc.match_substring_regex(values, r"^[\p{L}\p{N}_]"), bool)
+                syllables = np.maximum(1, number(pc.count_substring_regex(values, "[aeiouy]+")))
+                letter = number(pc.match_substring_regex(values, r"\p{L}"), float)
             ends = np.cumsum(lists)
             owner = np.repeat(np.arange(b.num_rows), lists)
             found: dict[str, list] = {c: [] for c in wanted}

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from docstyle.operators import textstats
+from docstyle.operators import scoring, textstats
 
 
 def batch(rows: int) -> pa.RecordBatch:
@@ -39,3 +39,36 @@ def test_peak_does_not_grow_with_the_batch(spark, monkeypatch, query):
         assert n == rows
     assert peaks[1] < 1.5 * peaks[0], peaks
     assert peaks[1] < 100 << 20, peaks
+
+
+def test_top_ngrams_counts_no_runs_longer_than_asked(monkeypatch):
+    codes, owner = np.tile(np.arange(5), 200), np.repeat(np.arange(2), 500)
+    assert counted(monkeypatch, codes, owner, [f"top_ngram_share_{n}" for n in scoring.TOP]) <= 4 * len(codes)
+
+
+def counted(monkeypatch, codes, owner, wanted) -> int:
+    """How many runs are sorted to number them."""
+    seen, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: seen.append(len(x)) or unique(x, *a, **k))
+    got = scoring._repetition(codes, owner, int(owner.max()) + 1, np.ones(int(codes.max()) + 1, dtype=np.int64), set(wanted))
+    assert set(got) == set(wanted)
+    return sum(seen)
+
+
+def test_repetition_of_runs_of_unlike_lengths_and_ties():
+    rng = np.random.default_rng(7)
+    size = np.array([3, 1, 5, 2, 4, 1, 9, 2])
+    texts = [[], [4], [2, 7], [5, 1, 0, 3, 2], [0, 1, 2, 0, 1], [1] * 12, *(rng.integers(0, m, k).tolist() for m in (2, 4, 8) for k in (3, 6, 11, 40))]
+    codes, owner = np.array(sum(texts, []), dtype=np.int64), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = scoring._repetition(codes, owner, len(texts), size, set(scoring.REPETITION))
+    for i, t in enumerate(texts):
+        for n in (*scoring.TOP, *scoring.DUPLICATE):
+            grams = [tuple(t[k : k + n]) for k in range(len(t) - n + 1)]
+            if n in scoring.TOP:
+                best = min(grams, key=lambda g: (-grams.count(g), g), default=None)
+                want = np.nan if best is None else grams.count(best) * (sum(size[c] for c in best) + n - 1)
+                assert np.array_equal(got[f"top_ngram_share_{n}"][i], want, equal_nan=True)
+            else:
+                hit = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(n)}
+                want = sum(size[t[k]] for k in hit) / sum(size[c] for c in t) if t else np.nan
+                assert got[f"duplicate_ngram_chr_fraction_{n}"][i] == pytest.approx(want, nan_ok=True)
