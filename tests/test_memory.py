@@ -46,6 +46,11 @@ def test_top_ngrams_counts_no_runs_longer_than_asked(monkeypatch):
     assert counted(monkeypatch, codes, owner, [f"top_ngram_share_{n}" for n in scoring.TOP]) <= 4 * len(codes)
 
 
+def test_dup_ngrams_counts_only_runs_that_can_be_repeated(monkeypatch):
+    codes, owner = np.random.default_rng(5).integers(0, 300, 10_000), np.repeat(np.arange(10), 1000)
+    assert counted(monkeypatch, codes, owner, [f"duplicate_ngram_chr_fraction_{n}" for n in scoring.DUPLICATE]) <= 3 * len(codes)
+
+
 def counted(monkeypatch, codes, owner, wanted) -> int:
     """How many runs are sorted to number them."""
     seen, unique = [], np.unique
