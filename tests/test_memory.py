@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docstyle.operators import scoring, textstats
 
@@ -41,6 +42,15 @@ def test_peak_does_not_grow_with_the_batch(spark, monkeypatch, query):
     assert peaks[1] < 100 << 20, peaks
 
 
+def test_what_is_held_at_once_is_bounded_over_sparks_own_batches(spark):
+    # one task of 2,000,000 tokens of a letter, of which an Arrow batch of 4 MB holds more than a piece may
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('a b ', 1000)").alias("text"))
+    held = (["held"], lambda t: {"held": np.full(len(t.counts), float(len(t.codes)))})
+    for first in ("duplicate_ngram_chr_fraction_5", "top_ngram_share_2"):
+        got = scoring.token_metrics(docs, ["doc_id"], [first], extra=(held,)).agg(F.count("*"), F.max("held"), F.min("held")).first()
+        assert got[0] == 1000 and 2000 <= got[2] <= got[1] <= scoring.TOKENS_AT_ONCE
+
+
 def test_top_ngrams_counts_no_runs_longer_than_asked(monkeypatch):
     codes, owner = np.tile(np.arange(5), 200), np.repeat(np.arange(2), 500)
     assert counted(monkeypatch, codes, owner, [f"top_ngram_share_{n}" for n in scoring.TOP]) <= 4 * len(codes)
